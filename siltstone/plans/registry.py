@@ -65,17 +65,6 @@ _VERSIONS = """versions AS (SELECT source AS file_id, doc_id AS version_id, CAST
   CAST(strlen(text) AS BIGINT) AS size FROM documents)"""
 
 
-def _cdc_sql(small: int, mask: int, large: int, longest: int) -> str:
-    """Chunk ends of documents under a number of bytes, a byte a step."""
-    return f"""d AS (SELECT doc_id, [CAST('0x' || substr(hex(text), 2 * k + 1, 2) AS BIGINT) FOR k IN range(0, strlen(text))] AS b, strlen(text) AS n FROM documents WHERE strlen(text) BETWEEN 1 AND {longest}),
-s AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS start, CAST(2166136261 AS BIGINT) AS fp, false AS cut, CAST(0 AS BIGINT) AS began FROM d
-  UNION ALL
-  SELECT doc_id, i, CASE WHEN cut THEN i ELSE start END, CASE WHEN cut THEN 2166136261 ELSE f END, cut, start FROM (
-    SELECT *, (i - start > {small} AND f % {mask + 1} = 0) OR i - start = {large} OR i = n AS cut FROM (
-      SELECT s.doc_id, s.i + 1 AS i, s.start, d.n, xor((s.fp * 16777619) % 4294967296, d.b[s.i + 1]) AS f FROM s JOIN d USING (doc_id) WHERE s.i < d.n))),
-c AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS BIGINT) AS block_index, began AS "offset", i - began AS length FROM s WHERE cut)"""
-
-
 # ---- chunks and hashes ---------------------------------------------------------------------------
 
 
@@ -116,7 +105,7 @@ def dedup_cdc(spark, d):
     return c.agg(F.sum("refs").alias("total_blocks"), F.count("*").alias("unique_blocks"), F.sum(F.col("refs") * F.col("size")).alias("logical_bytes"), F.sum("size").alias("unique_bytes"))
 
 
-@query("WITH RECURSIVE " + _cdc_sql(256, 255, 16384, 1 << 20) + """ SELECT doc_id, block_index, "offset", length FROM c""")
+@query()  # a recursion over each byte: too slow in SQL on whole tables
 def cdc_cuts(spark, d):
     return _cdc(spark, d, chunking.Profile(256, 256, 16384)).select("doc_id", F.col("block_index").cast("long").alias("block_index"), "offset", "length")
 
@@ -476,11 +465,11 @@ def _requests(spark, d):
 
 
 def _window_sql(first: str, more: str, used: str) -> str:
-    return f"""WITH RECURSIVE r AS (SELECT event_id, user_id, epoch_ms(ts) AS at, event_id % 100 AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-w AS (SELECT event_id, user_id, k, at + {_DAY} AS expires, {first} AS used, true AS allowed FROM r WHERE k = 1
+    return f"""WITH RECURSIVE r AS (SELECT event_id, user_id, epoch_ms(ts) AS t_ms, event_id % 100 AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+w AS (SELECT event_id, user_id, k, t_ms + {_DAY} AS expires, {first} AS used, true AS allowed FROM r WHERE k = 1
   UNION ALL
-  SELECT r.event_id, r.user_id, r.k, CASE WHEN w.expires < r.at THEN r.at + {_DAY} ELSE w.expires END,
-    CASE WHEN w.expires < r.at THEN {first} WHEN {more} THEN w.used + {used} ELSE w.used END, w.expires < r.at OR {more}
+  SELECT r.event_id, r.user_id, r.k, CASE WHEN w.expires < r.t_ms THEN r.t_ms + {_DAY} ELSE w.expires END,
+    CASE WHEN w.expires < r.t_ms THEN {first} WHEN {more} THEN w.used + {used} ELSE w.used END, w.expires < r.t_ms OR {more}
   FROM w JOIN r ON r.user_id = w.user_id AND r.k = w.k + 1)
 SELECT event_id, allowed FROM w"""
 
