@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 
-MOST_PIECES = 700_000  # in a task's table
+MOST_PIECES = 500_000  # in a task's table
 LONGEST = 200  # characters of a piece that is kept in it
 
 _ODD = re.compile(r"[ \n](?=\s)|(?<=[^\S \n])[ \n]|[ \n]\Z")

@@ -5,8 +5,8 @@
 2. Confirmed passages: windows with a recurring anchor are hashed (128 bits) and grouped; recurring ones have a first
    occurrence (smallest doc_id, then start). Consecutive first occurrences of a document merge into a passage.
 3. Automata: passages are sharded by document; each shard compiles the anchors of its passages with pyahocorasick over
-   words coded as characters. Documents with recurring windows stream through the shards that have an anchor of
-   theirs; each hit is extended word by word, so hashes never decide what is removed. Shards that many documents need
+   words coded as characters. The stretches of documents around recurring anchors stream through the
+   shards that have those anchors; each hit is extended word by word, so hashes never decide what is removed. Shards that many documents need
    are copied, and the documents are dealt over the copies.
 
 Texts equal as word sequences are one class: beyond the first, all words are covered, if there are 20 or more.
@@ -27,7 +27,7 @@ from .common import Scratch, docs_of, in_bits, membership, mix, shingle_hashes,
 
 WINDOW, ANCHOR = 20, 8
 SHARD_WORDS = 300_000  # of passages in one automaton, about
-SHARD_DOCS = 4000  # documents that stream through one copy of a shard, about
+SHARD_DOCS = 20_000  # stretches that stream through one copy of a shard, about
 LAST = (1 << 63) - 1  # stands for a null doc_id
 EMPTY = sha256(b"").hexdigest()
 
@@ -85,15 +85,19 @@ def _anchors(window: int, k: int):
 
 
 def _windows(window: int, k: int, recurring):
-    """Windows whose anchor recurs: one row a text and distinct window, with its first start and whether it repeats."""
+    """Windows whose anchor recurs: one row a text and distinct window, with its first start and whether it repeats.
+
+    Each place of an anchor is on one row; where its windows all began before, on a row without a window.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h1", "h2", "doc_id", "start", "again", "key", "anchor"]
+        names = ["h1", "h2", "doc_id", "start", "again", "key", "anchor", "place"]
 
         def out(parts):
             c = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            cols = _longs(*c[:6])
-            cols.append(pa.array(c[6].view(np.int64), mask=~c[7]))
+            cols = [pa.array(x.view(np.int64), mask=c[9]) for x in c[:2]] + _longs(*c[2:6])
+            cols.append(pa.array(c[6].view(np.int64), mask=~c[8]))
+            cols.append(pa.array(c[7], mask=~c[8]))
             return pa.RecordBatch.from_arrays(cols, names)
 
         parts, size = [], 0
@@ -109,10 +113,17 @@ def _windows(window: int, k: int, recurring):
                 h1, h2 = shingle_hashes(words, window)[keep], shingle_hashes(words, window, 1)[keep]
                 _, first, n = np.unique(h1, return_index=True, return_counts=True)
                 at = at[keep]
-                lead = np.concatenate([[True], at[1:] != at[:-1]])[first]
+                at_first = at[first]
+                lead = np.zeros(len(first), bool)
+                lead[np.unique(at_first, return_index=True)[1]] = True
                 m = len(first)
                 full = lambda v: np.full(m, v, np.int64)
-                parts.append((h1[first], h2[first], full(doc), keep[first], (n > 1).astype(np.int64), full(_text_key(words)), h[at[first]], lead))
+                key = _text_key(words)
+                parts.append((h1[first], h2[first], full(doc), keep[first], (n > 1).astype(np.int64), full(key), h[at_first], at_first, lead, np.zeros(m, bool)))
+                more = np.setdiff1d(at, at_first)
+                m = len(more)
+                parts.append((np.zeros(m, np.uint64), np.zeros(m, np.uint64), full(doc), more, full(0), full(key), h[more], more, np.ones(m, bool), np.ones(m, bool)))
+                m += len(first)
                 size += m
                 if size > 60_000:
                     yield out(parts)
@@ -176,8 +187,11 @@ class PhraseAutomaton:
         self.automaton.make_automaton()
         self.k = k
 
-    def spans(self, doc: int, words: list[bytes]) -> list[tuple[int, int]]:
-        """Runs of words [from, to) that a passage has too, of a window or longer, besides the passage itself."""
+    def spans(self, doc: int, words: list[bytes], base: int = 0) -> list[tuple[int, int]]:
+        """Runs of words [from, to) that a passage has too, of a window or longer, besides the passage itself.
+
+        ``base``: where the words begin in the document.
+        """
         out, done = [], {}
         if not len(self.automaton):
             return out
@@ -189,7 +203,7 @@ class PhraseAutomaton:
                 if done.get((i, shift), -1) >= at:
                     continue
                 first, start, text, _ = self.passages[i]
-                if first == doc and start == shift:
+                if first == doc and start == shift + base:
                     continue
                 lo, hi, size = place, place, len(text)
                 while lo > 0 and lo + shift > 0 and text[lo - 1] == words[lo + shift - 1]:
@@ -198,7 +212,7 @@ class PhraseAutomaton:
                     hi += 1
                 done[i, shift] = max(hi + shift - self.k, at)
                 if hi - lo >= self.window:
-                    out.append((lo + shift, hi + shift))
+                    out.append((lo + shift + base, hi + shift + base))
         return out
 
 
@@ -217,7 +231,7 @@ def _located(window: int, k: int):
                     continue
                 if automaton is None:
                     automaton = PhraseAutomaton(passages, window, k)
-                found = automaton.spans(doc, text.split())
+                found = automaton.spans(doc, text.split(), start)
                 if found:
                     out.append((doc, np.array(found, np.int64).ravel().tolist()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], ["doc_id", "spans"])
@@ -225,6 +239,32 @@ def _located(window: int, k: int):
     return run
 
 
+def _stretches(window: int, k: int):
+    """(doc_id, text, routes of shard and anchor place) -> for each shard the stretches that hold windows of its anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                out = []
+                for doc, text, routes in zip(*(c.to_pylist() for c in batch.slice(i, 1024).columns), strict=True):
+                    words = text.split()
+                    at, end, shard = 0, -1, None
+                    for r in routes:  # in order of shard, place
+                        lo, hi = max(0, r["place"] - window + k), min(len(words), r["place"] + window)
+                        if r["shard"] == shard and lo <= end:
+                            end = hi
+                        else:
+                            if shard is not None:
+                                out.append((shard, doc, at, b" ".join(words[at:end])))
+                            shard, at, end = r["shard"], lo, hi
+                    if shard is not None:
+                        out.append((shard, doc, at, b" ".join(words[at:end])))
+                c = list(zip(*out, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary())], ["shard", "doc_id", "start", "text"])
+
+    return run
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, spans) -> what is left of the words."""
     for batch in batches:
@@ -261,11 +301,11 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
     recurring = s.save(seen.where("lo_key < hi_key or lo_place < hi_place").select("anchor"), "anchors")
     s.free()
     bits = membership(spark, recurring, "anchor", hashed=True)
-    windows = docs.mapInArrow(_windows(window, k, bits), "h1 long, h2 long, doc_id long, start long, again long, key long, anchor long")
+    windows = docs.mapInArrow(_windows(window, k, bits), "h1 long, h2 long, doc_id long, start long, again long, key long, anchor long, place long")
     windows = s.save(windows, "windows")
     s.drop("anchors")
 
-    found = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("again").alias("again"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    found = windows.where("h1 is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("again").alias("again"), F.min("key").alias("lo"), F.max("key").alias("hi"))
     found = found.where("again > 0 or lo < hi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start")).distinct()
     order = Window.partitionBy("doc_id").orderBy("start")
     runs = found.withColumn("run", F.col("start") - F.row_number().over(order)).groupBy("doc_id", "run").agg(F.min("start").alias("start"), (F.max("start") + window).alias("end"))
@@ -273,7 +313,6 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
     s.free()
 
     # documents that have an anchor of a passage, and copies aside
-    docs_anchors = windows.where("anchor is not null").select("doc_id", "anchor").distinct()
     wanted = membership(spark, windows.where("anchor is not null").select("doc_id").distinct(), "doc_id")
     extra = firsts.where("first_id < last_id").select("key", "first_id")
     copies = all_docs.join(extra, "key").where("doc_id > first_id").select("doc_id", "key").distinct()
@@ -287,15 +326,18 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
     shards = max(parts, size * 7 // SHARD_WORDS)
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
     passages = passages.withColumn("shard", shard)
-    routes = docs_anchors.join(passages.select("shard", F.explode("anchors").alias("anchor")).distinct(), "anchor").select("doc_id", "shard").distinct()
-    routes = s.save(routes, "routes")
+    anchors = windows.where("anchor is not null").select("doc_id", "anchor", "place")
+    routes = anchors.join(passages.select("shard", F.explode("anchors").alias("anchor")).distinct(), "anchor")
+    routes = routes.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("shard", "place"))).alias("routes"))
+    parts_of = texts.join(routes, "doc_id").select("doc_id", "text", "routes").mapInArrow(_stretches(window, k), "shard int, doc_id long, start long, text binary")
+    parts_of = s.save(parts_of, "stretches")
     s.drop("windows")
-    copies_of = routes.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_DOCS).cast("int").alias("copies"))
-    heads = passages.join(F.broadcast(copies_of) if shards < 100_000 else copies_of, "shard")
-    heads = heads.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    copies_of = parts_of.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_DOCS).cast("int").alias("copies"))
+    copies_of = F.broadcast(copies_of) if shards < 100_000 else copies_of
+    heads = passages.join(copies_of, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     heads = heads.select("shard", "copy", F.lit(0).alias("kind"), "doc_id", "start", F.col("words").alias("text"), "places")
-    tails = texts.join(routes.join(F.broadcast(copies_of) if shards < 100_000 else copies_of, "shard"), "doc_id")
-    tails = tails.select("shard", F.pmod(F.xxhash64("doc_id"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("kind"), "doc_id", F.lit(0).cast("long").alias("start"), "text", F.lit(None).cast("array<long>").alias("places"))
+    tails = parts_of.join(copies_of, "shard")
+    tails = tails.select("shard", F.pmod(F.xxhash64("doc_id", "start"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("kind"), "doc_id", "start", "text", F.lit(None).cast("array<long>").alias("places"))
     both = heads.union(tails).repartition(parts, "shard", "copy").sortWithinPartitions("shard", "copy", "kind", "doc_id", "start")
     spans = s.save(both.mapInArrow(_located(window, k), "doc_id long, spans array<long>"), "spans")
     s.free()

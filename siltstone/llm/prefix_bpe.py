@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import docs_of, spread
 from .encoding import PieceEncoder
 
-MOST_PREFIXES = 1_500_000
+MOST_PREFIXES = 400_000
 _LOADED: dict = {}
 
 
@@ -167,7 +167,7 @@ class PrefixTable:
 class PatternEncoder(PieceEncoder):
     """Whole texts: pieces at safe cuts, each split by the pattern, each match encoded by its prefixes."""
 
-    def __init__(self, path: str, pattern: str, most: int = 700_000):
+    def __init__(self, path: str, pattern: str, most: int = 350_000):
         self.bpe, self.pattern, self.keep, self.most = PrefixBPE(load_ranks(path)), regex.compile(pattern), True, most
         self.dtype = np.dtype("<u2" if max(self.bpe.ranks.values()) < 1 << 16 else "<u4")
         self.first, self.inner = {}, {}

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import docs_of, spread
 
 MARK = "▁"
-MOST_WORDS = 1_500_000  # terminal counts kept in a task
+MOST_WORDS = 1_000_000  # terminal counts kept in a task
 MOST_LETTERS = 64 * 1024  # of a pre-token that goes in the trie; longer ones are scored alone, with the same steps
 _LOADED: dict = {}
 
@@ -102,7 +102,7 @@ class Counter:
             new = list(words)
         trie, letters = PretokenTrie(self.scores), 0
         for w in sorted(new):
-            if letters > 2_000_000 or len(w) > MOST_LETTERS:
+            if letters > 300_000 or len(w) > MOST_LETTERS:
                 self.known.update(trie.counts())
                 trie, letters = PretokenTrie(self.scores), 0
             trie.insert(w)

@@ -1,0 +1,290 @@
+"""Every operator against brute force on a small table with nulls, blanks, ties, long texts and extra columns."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+
+from siltstone.llm import chat_collapse, encoding, hamming_topk, jaccard_join, packing, phrase_dedup, plane_files, prefix_bpe, quality_rules, secret_scan, trie_counts
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, n int, h long, key string"
+
+
+def rows_of(seed=1):
+    r = random.Random(seed)
+    vocab = ["".join(r.choice("abcdeßéxyz") for _ in range(r.randint(1, 6))) for _ in range(300)]
+    text = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    passage = text(45)
+    base = text(120)
+    out = [None, "", " \n\t ", "one", "one two three", "One two THREE", passage, passage, "same " * 200, "same " * 60, text(12000)]
+    for i in range(25):
+        w = base.split()
+        for _ in range(i % 9):
+            w[r.randrange(len(w))] = r.choice(vocab)
+        out.append(" ".join(w))
+    for i in range(20):
+        out.append(text(r.randint(1, 40)) + ("\n" if i % 2 else "  ") + passage[: r.randint(50, len(passage))] + " " + text(r.randint(0, 60)))
+    out += [text(80) for _ in range(10)]
+    r.shuffle(out)
+    return [(i * 3 + 1, t) for i, t in enumerate(out)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return rows_of()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", 1, 2, 3, "k") for i, t in rows], DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def words(t):
+    return (t or "").encode().split()
+
+
+def test_jaccard_join(spark, docs, rows, empty):
+    sets = {}
+    for i, t in rows:
+        w = words(t.lower() if t and t.isascii() else t) if t is None or t.isascii() else t.encode().lower().split()
+        k = min(5, len(w))
+        sets[i] = {tuple(w[a : a + k]) for a in range(len(w) - k + 1)} if w else set()
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_components(spark, docs).collect()}
+    assert got == {i: (len(s), root(i)) for i, s in sets.items()}
+    assert len({c for _, c in got.values()}) < len(got)
+    assert jaccard_join.link_components(spark, empty).count() == 0
+
+
+def test_jaccard_join_nulls_and_shared_ids(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    df = spark.createDataFrame([(None, a), (1, a), (2, b), (2, a), (5, b), (5, None)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard_join.link_components(spark, df).collect() if r.doc_id)
+    assert got == [(1, 4, 1), (2, 4, 1), (2, 4, 1), (5, 0, 5), (5, 4, 1)]
+
+
+def test_jaccard_blocks(spark, rows, docs, monkeypatch):
+    whole = {r.doc_id: r.component_id for r in jaccard_join.link_components(spark, docs).collect()}
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    assert {r.doc_id: r.component_id for r in jaccard_join.link_components(spark, docs).collect()} == whole
+
+
+def test_phrase_dedup(spark, docs, rows, empty):
+    first = {}
+    for i, t in rows:
+        w = words(t)
+        for p in range(len(w) - 19):
+            first.setdefault(tuple(w[p : p + 20]), (i, p))
+    want = {}
+    for i, t in rows:
+        w = words(t)
+        gone = [False] * len(w)
+        for p in range(len(w) - 19):
+            if first[tuple(w[p : p + 20])] != (i, p):
+                gone[p : p + 20] = [True] * 20
+        want[i] = (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest())
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in phrase_dedup.dedup_substrings(spark, docs).collect()}
+    assert got == want
+    assert sum(n for _, n, _ in want.values()) > 1000
+    assert phrase_dedup.dedup_substrings(spark, empty).count() == 0
+
+
+def test_phrase_dedup_nulls(spark):
+    t = " ".join(map(str, range(30)))
+    df = spark.createDataFrame([(None, t), (4, t), (4, t), (9, t), (None, None)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in phrase_dedup.dedup_substrings(spark, df).collect())
+    assert got == [(0, 0, 0), (0, 30, 30), (4, 30, 0), (4, 30, 0), (9, 30, 30)]
+
+
+def test_plane_files(spark, docs, rows, empty):
+    t = encoding.tokenizer(P.path("byte_bpe_50k.json"))
+    start, want = 0, {}
+    for i, x in rows:
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
+        want[i] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    folder, files = plane_files.write_token_files(spark, docs, P.path("byte_bpe_50k.json"), block=1000, kind=plane_files.BIT)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in plane_files.read_documents(spark, folder, files).collect()} == want
+
+
+@pytest.mark.parametrize("kind", [plane_files.BYTE, plane_files.BIT])
+@pytest.mark.parametrize("width", [2, 4])
+def test_plane_file_round_trip(kind, width):
+    parts = [np.arange(n, dtype=f"<u{width}") for n in (0, 1, 2500, 7)]
+    f = plane_files.PlaneFile(plane_files.encode_file([3, None, 5, -1], [p.tobytes() for p in parts], width, 1000, kind))
+    assert [(d, s, ids.tolist()) for d, s, ids in f.documents()] == [(3, 0, []), (None, 0, [0]), (5, 1, list(range(2500))), (-1, 2501, list(range(7)))]
+    assert f.read(990, 1010).tolist() == np.concatenate(parts)[990:1010].tolist()
+    with pytest.raises(ValueError):
+        plane_files.PlaneFile(b"x" * 40)
+
+
+def test_packing(spark, docs, rows, empty):
+    t = encoding.tokenizer(P.path("word_bpe_49k.json"))
+    full = {i: [*t.encode(x or "", add_special_tokens=False).ids, 2] for i, x in rows}
+    cat = packing.concatenated(spark, docs, P.path("word_bpe_49k.json"), 2)
+    got = packing.pieces(cat, 100).collect()
+    place = sorted((r.sequence_id * 100 + r.offset, r.length) for r in got)
+    assert place[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(place, place[1:])) and sum(n for _, n in place) == sum(map(len, full.values()))
+    for r in got:
+        part = full[r.doc_id][r.start : r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(np.array(part, "<u4").tobytes()) and r.doc_tokens == len(full[r.doc_id])
+    seqs = packing.sequences(cat, 100).collect()
+    total = sum(map(len, full.values()))
+    assert sum(s.n_ids for s in seqs) == total and len(seqs) == -(-total // 100)
+    assert all(len(s.ids) == 400 or s.n_ids & (s.n_ids - 1) == 0 for s in seqs)
+    assert packing.pack(spark, empty).count() == 0
+
+
+def test_piece_encoder_on_odd_texts():
+    r = random.Random(2)
+    bits = ["a", "B", "é", " ", "  ", "\n", "\n\n", "\t", "'s", "1", "!?", "　", "́", "Σ", "<|endoftext|>", "\x85", "\x1c", "漢字"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 10))) for _ in range(2000)] + [None, ""]
+    for name, spaces in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        e = encoding.PieceEncoder(P.path(name), spaces, most=50)
+        assert e.encode(texts) == e._raw([t or "" for t in texts])
+
+
+def test_prefix_bpe(spark, docs, rows):
+    import tiktoken
+
+    ranks = prefix_bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    t = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = {}
+    for i, x in rows:
+        ids = t.encode_ordinary(x or "")
+        want[i] = (len(ids), sha(" ".join(map(str, ids)).encode()), sha((x or "").encode()))
+    got = prefix_bpe.encode_decode(spark, docs, P.path("byte_bpe_50k.tiktoken")).collect()
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == want
+
+
+def test_prefix_table_edits():
+    bpe = prefix_bpe.PrefixBPE(prefix_bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")))
+    r = random.Random(3)
+    for _ in range(200):
+        t = bytes(r.choice(b"abcdetheing ") for _ in range(r.randint(0, 400)))
+        a = r.randint(0, len(t))
+        b, new = r.randint(a, len(t)), bytes(r.choice(b"the") for _ in range(r.randint(0, 5)))
+        table = prefix_bpe.PrefixTable(bpe)
+        table.append(t)
+        table.edit(a, b, new)
+        assert table.tokens() == bpe.merge(t[:a] + new + t[b:])
+    assert bpe.tokens(b"ab" * 300) == bpe.merge(b"ab" * 300)
+
+
+def test_trie_counts(spark, docs, rows):
+    scores = trie_counts.load_scores(P.path("piece_bpe_32k.model"))
+    worst = min(scores.values()) - 10_000_000
+
+    def brute(w):
+        f = [(0, 0)]
+        for i in range(1, len(w) + 1):
+            f.append(max([(f[i - 1][0] + worst, f[i - 1][1] - len(w[i - 1].encode()))] + [(f[j][0] + scores[w[j:i]], f[j][1] - 1) for j in range(max(0, i - 20), i) if w[j:i] in scores]))
+        return -f[-1][1]
+
+    cache = {}
+    want = {}
+    for i, t in rows:
+        w = ["▁" + x.decode() for x in words(t)]
+        want[i] = (len(w), sum(cache.setdefault(x, brute(x)) for x in w))
+    got = trie_counts.token_counts(spark, docs, P.path("piece_bpe_32k.model")).collect()
+    assert {r.doc_id: (r.n_pretokens, r.n_tokens) for r in got} == want
+    assert trie_counts.Counter(scores).count([["▁漢", "▁"], []]) == [brute("▁漢") + brute("▁"), 0]
+
+
+def test_quality_rules(spark, docs, rows, empty):
+    labels = spark.createDataFrame([(i, int(len(words(t)) < 100), 0) for i, t in rows] + [(None, 1, 0), (10**9, None, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_rules.judge(spark, docs, labels).collect()}
+    for i, t in rows:
+        w = words(t)
+        n = collections.Counter(zip(w, w[1:], w[2:]))
+        hit = {p + k for p in range(len(w) - 2) if n[tuple(w[p : p + 3])] > 1 for k in range(3)}
+        lines = (t or "").split("\n")
+        dup = sum(1 for k, x in enumerate(lines) if x.encode().split() and x in lines[:k])
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(len(x.decode()) for x in w), len(re.findall(r"[#*$%&|<>]", t or "")), dup, len(hit))
+        assert r.base_failed == (len(w) < 50 or 100 * len(hit) > 50 * len(w)) and not (r.base_failed and r.kept)
+    assert quality_rules.judge(spark, empty, labels).count() == 0
+    none = quality_rules.judge(spark, docs, labels.limit(0)).where("not base_failed and not kept")
+    assert none.count() == 0
+
+
+def test_isolation_forest_finds_outliers():
+    r = np.random.default_rng(0)
+    x = np.concatenate([r.normal(0, 1, (500, 2)), r.normal(9, 1, (10, 2))])
+    s = quality_rules.IsolationForest(100, 128).fit(x).score(x)
+    assert s[500:].min() > np.quantile(s[:500], 0.95)
+
+
+def test_secret_scan(spark, docs, empty):
+    found = secret_scan.made_findings(3000, seed=8)
+    x, y = np.array([secret_scan.features(*f[:3]) for f in found]), np.array([f[3] for f in found])
+    forest = secret_scan.train()
+    assert ((forest.score(x) > secret_scan.CUT) == y).mean() > 0.97  # templates and seed it wasn't trained on
+    s = "0123456789abcdef0123456789abcdef01234567"
+    texts = [f'x y token = "{s}" z', f"commit {s} fixed", "4929348385146306", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_secrets, r.masked) for r in secret_scan.scan(spark, df, forest).collect()}
+    assert got[0] == (1, 'x y token = "[SECRET]" z') and got[1] == (0, texts[1]) and got[2] == (0, texts[2]) and got[3] == (0, None) and got[4] == (0, "")
+    assert secret_scan.scan(spark, empty, forest).count() == 0
+
+
+def test_chat_collapse(spark):
+    a, b, c = ("user", "hi"), ("assistant", "hello"), ("user", None)
+    convs = {1: [a], 2: [a, b], 3: [a, b, c], 4: [a, b, c], 5: [b], 6: [a, ("user", "")], 7: [(None, "hi")], None: [a, b]}
+    rows = [(k, t, r, x, "e") for k, v in convs.items() for t, (r, x) in enumerate(v)]
+    got = sorted((r.conv_id, r.n_turns) for r in chat_collapse.collapse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, hashes string")).collect())
+    assert got == [(3, 3), (5, 1), (6, 2), (7, 1)]
+    assert chat_collapse.collapse(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_hamming_topk(spark):
+    r = np.random.default_rng(1)
+    v = [(i, [float(x) for x in r.normal(size=70)]) for i in range(200)] + [(500 + i, [1.0] * 70) for i in range(30)] + [(900, None), (None, [1.0] * 70), (901, [])]
+    df = spark.createDataFrame([(i, e, 0, "c") for i, e in v], "vec_id long, embedding array<float>, label int, code string")
+    got = hamming_topk.search(spark, df, df.where("vec_id % 50 = 0"), 7).collect()
+    live = [(i, np.array(e) > 0) for i, e in v if i is not None and e]
+    for q, code in live:
+        if q % 50 == 0:
+            want = sorted((int((code != c).sum()), i) for i, c in live)[:7]
+            assert sorted((x.rank, x.distance, x.vec_id) for x in got if x.query_id == q) == [(k + 1, d, i) for k, (d, i) in enumerate(want)]
+    assert hamming_topk.search(spark, df.limit(0), df.limit(0)).count() == 0
+
+
+def test_pipeline(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    plain = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows] + [(None, "word " * 3, None, None, None)], plain).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i, _ in rows[:20]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near duplicates", "substring dedup", "secret scan", "packing"]
+    docs, n = spark.read.parquet(f"{tmp_path}/documents.parquet"), None
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < 4:
+            assert docs.columns == corpus_pipeline.COLUMNS
+            n = docs.count()
+    assert docs.select("doc_id").distinct().count() == n
+    assert sorted(map(tuple, docs.collect())) == sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
