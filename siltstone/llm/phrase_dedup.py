@@ -4,10 +4,11 @@
    anchors, so windows of an anchor that occurs once in distinct texts are unique. Anchors are counted over all texts.
 2. Confirmed passages: windows with a recurring anchor are hashed (128 bits) and grouped; recurring ones have a first
    occurrence (smallest doc_id, then start). Consecutive first occurrences of a document merge into a passage.
-3. Automata: passages are sharded by document; each shard compiles the anchors of its passages with pyahocorasick over
-   words coded as characters. The stretches of documents around recurring anchors stream through the
-   shards that have those anchors; each hit is extended word by word, so hashes never decide what is removed. Shards that many documents need
-   are copied, and the documents are dealt over the copies.
+3. Automata: passages are sharded by document; each shard compiles phrases of its passages, at least one in each
+   window, with pyahocorasick over words coded as characters. A document's recurring windows say which shards have their first occurrences (each
+   window one shard); the stretch of the document that they span streams through that shard's automaton. Each hit is
+   extended word by word, so hashes never decide what is removed. Shards that many documents need are copied, and the
+   stretches are dealt over the copies.
 
 Texts equal as word sequences are one class: beyond the first, all words are covered, if there are 20 or more.
 """
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, docs_of, in_bits, membership, mix, shingle_hashes, spread
 
 WINDOW, ANCHOR = 20, 8
-SHARD_WORDS = 300_000  # of passages in one automaton, about
+PHRASE = 12  # words of a phrase in an automaton: the run of smallest hash in each window
+SHARD_WORDS = 100_000  # windows of passages in one automaton, about
 SHARD_DOCS = 20_000  # stretches that stream through one copy of a shard, about
 LAST = (1 << 63) - 1  # stands for a null doc_id
 EMPTY = sha256(b"").hexdigest()
@@ -85,20 +87,11 @@ def _anchors(window: int, k: int):
 
 
 def _windows(window: int, k: int, recurring):
-    """Windows whose anchor recurs: one row a text and distinct window, with its first start and whether it repeats.
-
-    Each place of an anchor is on one row; where its windows all began before, on a row without a window.
-    """
+    """(h1, h2, doc_id, start, key) of the windows whose anchor recurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h1", "h2", "doc_id", "start", "again", "key", "anchor", "place"]
-
         def out(parts):
-            c = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            cols = [pa.array(x.view(np.int64), mask=c[9]) for x in c[:2]] + _longs(*c[2:6])
-            cols.append(pa.array(c[6].view(np.int64), mask=~c[8]))
-            cols.append(pa.array(c[7], mask=~c[8]))
-            return pa.RecordBatch.from_arrays(cols, names)
+            return pa.RecordBatch.from_arrays(_longs(*(np.concatenate(x) for x in zip(*parts, strict=True))), ["h1", "h2", "doc_id", "start", "key"])
 
         parts, size = [], 0
         for batch in batches:
@@ -107,23 +100,14 @@ def _windows(window: int, k: int, recurring):
                 if len(words) < window:
                     continue
                 h, at = anchor_starts(words, window, k)
-                keep = np.flatnonzero(in_bits(recurring.value, h)[at])
-                if not len(keep):
+                some = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                hit = in_bits(recurring.value, h[at[some]])
+                if not hit.any():
                     continue
+                keep = np.flatnonzero(np.repeat(hit, np.diff(np.append(some, len(at)))))
                 h1, h2 = shingle_hashes(words, window)[keep], shingle_hashes(words, window, 1)[keep]
-                _, first, n = np.unique(h1, return_index=True, return_counts=True)
-                at = at[keep]
-                at_first = at[first]
-                lead = np.zeros(len(first), bool)
-                lead[np.unique(at_first, return_index=True)[1]] = True
-                m = len(first)
-                full = lambda v: np.full(m, v, np.int64)
-                key = _text_key(words)
-                parts.append((h1[first], h2[first], full(doc), keep[first], (n > 1).astype(np.int64), full(key), h[at_first], at_first, lead, np.zeros(m, bool)))
-                more = np.setdiff1d(at, at_first)
-                m = len(more)
-                parts.append((np.zeros(m, np.uint64), np.zeros(m, np.uint64), full(doc), more, full(0), full(key), h[more], more, np.ones(m, bool), np.ones(m, bool)))
-                m += len(first)
+                m = len(keep)
+                parts.append((h1, h2, np.full(m, doc, np.int64), keep, np.full(m, _text_key(words), np.int64)))
                 size += m
                 if size > 60_000:
                     yield out(parts)
@@ -143,26 +127,15 @@ def _chosen(bits):
     return run
 
 
-def _passages(window: int, k: int):
-    """(doc_id, text, start, end) -> (doc_id, start, words, anchors) of the passage [start, end) of the text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = text.split()
-                for r in runs:
-                    part = words[r["start"] : r["end"]]
-                    h, at = anchor_starts(part, window, k)
-                    at = np.unique(at)
-                    out.append((doc, r["start"], b" ".join(part), h[at].view(np.int64).tolist(), at.tolist()))
-            c = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.list_(pa.int64())), pa.array(c[4], pa.list_(pa.int64()))],
-                ["doc_id", "start", "words", "anchors", "places"],
-            )
-
-    return run
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, runs of start and end) -> (doc_id, start, words) of each passage."""
+    for batch in batches:
+        out = []
+        for doc, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words = text.split()
+            out += [(doc, r["start"], b" ".join(words[r["start"] : r["end"]])) for r in runs]
+        c = list(zip(*out, strict=True)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary())], ["doc_id", "start", "words"])
 
 
 def coded(words: list[bytes]) -> str:
@@ -172,20 +145,19 @@ def coded(words: list[bytes]) -> str:
 
 
 class PhraseAutomaton:
-    """Passages (doc_id, start, words, places of anchors); finds where others' words repeat windows of them."""
+    """Passages (doc_id, start, words); finds where others' words repeat windows of them."""
 
-    def __init__(self, passages: list[tuple[int, int, list[bytes], list[int]]], window: int, k: int):
-        self.passages, self.window = passages, window
+    def __init__(self, passages: list[tuple[int, int, list[bytes]]], window: int):
+        self.passages, self.window, self.k = passages, window, min(PHRASE, window)
         lists: dict[str, list[tuple[int, int]]] = {}
-        for i, (_, _, words, places) in enumerate(passages):
+        for i, (_, _, words) in enumerate(passages):
             code = coded(words)
-            for p in places:
-                lists.setdefault(code[p : p + k], []).append((i, p))
+            for p in np.unique(anchor_starts(words, window, self.k)[1]).tolist():
+                lists.setdefault(code[p : p + self.k], []).append((i, p))
         self.automaton = ahocorasick.Automaton()
         for pattern, where in lists.items():
             self.automaton.add_word(pattern, where)
         self.automaton.make_automaton()
-        self.k = k
 
     def spans(self, doc: int, words: list[bytes], base: int = 0) -> list[tuple[int, int]]:
         """Runs of words [from, to) that a passage has too, of a window or longer, besides the passage itself.
@@ -202,7 +174,7 @@ class PhraseAutomaton:
                 shift = at - place
                 if done.get((i, shift), -1) >= at:
                     continue
-                first, start, text, _ = self.passages[i]
+                first, start, text = self.passages[i]
                 if first == doc and start == shift + base:
                     continue
                 lo, hi, size = place, place, len(text)
@@ -216,21 +188,21 @@ class PhraseAutomaton:
         return out
 
 
-def _located(window: int, k: int):
+def _located(window: int):
     """Rows in order of (shard, copy), passages first: builds each shard's automaton, then streams its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, passages, automaton = None, [], None
         for batch in batches:
             out = []
-            for shard, copy, kind, doc, start, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, copy, kind, doc, start, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (shard, copy) != now:
                     now, passages, automaton = (shard, copy), [], None
                 if kind == 0:
-                    passages.append((doc, start, text.split(), places))
+                    passages.append((doc, start, text.split()))
                     continue
                 if automaton is None:
-                    automaton = PhraseAutomaton(passages, window, k)
+                    automaton = PhraseAutomaton(passages, window)
                 found = automaton.spans(doc, text.split(), start)
                 if found:
                     out.append((doc, np.array(found, np.int64).ravel().tolist()))
@@ -239,30 +211,16 @@ def _located(window: int, k: int):
     return run
 
 
-def _stretches(window: int, k: int):
-    """(doc_id, text, routes of shard and anchor place) -> for each shard the stretches that hold windows of its anchors."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                out = []
-                for doc, text, routes in zip(*(c.to_pylist() for c in batch.slice(i, 1024).columns), strict=True):
-                    words = text.split()
-                    at, end, shard = 0, -1, None
-                    for r in routes:  # in order of shard, place
-                        lo, hi = max(0, r["place"] - window + k), min(len(words), r["place"] + window)
-                        if r["shard"] == shard and lo <= end:
-                            end = hi
-                        else:
-                            if shard is not None:
-                                out.append((shard, doc, at, b" ".join(words[at:end])))
-                            shard, at, end = r["shard"], lo, hi
-                    if shard is not None:
-                        out.append((shard, doc, at, b" ".join(words[at:end])))
-                c = list(zip(*out, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary())], ["shard", "doc_id", "start", "text"])
-
-    return run
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, routes of shard, start and end) -> the stretch of the text for each shard."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1024):
+            out = []
+            for doc, text, routes in zip(*(c.to_pylist() for c in batch.slice(i, 1024).columns), strict=True):
+                words = text.split()
+                out += [(r["shard"], doc, r["start"], b" ".join(words[r["start"] : r["end"]])) for r in routes]
+            c = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary())], ["shard", "doc_id", "start", "text"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,45 +259,49 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
     recurring = s.save(seen.where("lo_key < hi_key or lo_place < hi_place").select("anchor"), "anchors")
     s.free()
     bits = membership(spark, recurring, "anchor", hashed=True)
-    windows = docs.mapInArrow(_windows(window, k, bits), "h1 long, h2 long, doc_id long, start long, again long, key long, anchor long, place long")
+    windows = docs.mapInArrow(_windows(window, k, bits), "h1 long, h2 long, doc_id long, start long, key long")
     windows = s.save(windows, "windows")
     s.drop("anchors")
 
-    found = windows.where("h1 is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("again").alias("again"), F.min("key").alias("lo"), F.max("key").alias("hi"))
-    found = found.where("again > 0 or lo < hi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start")).distinct()
+    ends = [f(c).alias(f"{n}_{c}") for c in ("key", "start") for n, f in (("lo", F.min), ("hi", F.max))]
+    found = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), *ends).where("lo_key < hi_key or lo_start < hi_start")
+    found = s.save(found.select("h1", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start")), "found")
+    s.free()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(parts, found.count() // SHARD_WORDS)
+    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
+    first = found.select("h1", shard.alias("shard"), F.col("doc_id").alias("first_id"), F.col("start").alias("first_start"))
+    routes = windows.select("h1", "doc_id", "start").join(first, "h1").where("doc_id <> first_id or start <> first_start")
+    routes = routes.groupBy("doc_id", "shard").agg(F.min("start").alias("start"), (F.max("start") + window).alias("end"))
+    routes = s.save(routes, "routes")
+    s.drop("windows")
+
     order = Window.partitionBy("doc_id").orderBy("start")
     runs = found.withColumn("run", F.col("start") - F.row_number().over(order)).groupBy("doc_id", "run").agg(F.min("start").alias("start"), (F.max("start") + window).alias("end"))
     runs = s.save(runs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs")), "runs")
     s.free()
 
-    # documents that have an anchor of a passage, and copies aside
-    wanted = membership(spark, windows.where("anchor is not null").select("doc_id").distinct(), "doc_id")
+    # documents with passages or stretches; copies aside
+    wanted = membership(spark, routes.select("doc_id").union(runs.select("doc_id")).distinct(), "doc_id")
     extra = firsts.where("first_id < last_id").select("key", "first_id")
     copies = all_docs.join(extra, "key").where("doc_id > first_id").select("doc_id", "key").distinct()
     copies = s.save(copies, "copies")
     texts = docs.mapInArrow(_chosen(wanted), "doc_id long, text binary").join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
     texts = s.save(texts, "texts")
 
-    passages = s.save(texts.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(_passages(window, k), "doc_id long, start long, words binary, anchors array<long>, places array<long>"), "passages")
-    size = passages.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(parts, size * 7 // SHARD_WORDS)
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
-    passages = passages.withColumn("shard", shard)
-    anchors = windows.where("anchor is not null").select("doc_id", "anchor", "place")
-    routes = anchors.join(passages.select("shard", F.explode("anchors").alias("anchor")).distinct(), "anchor")
-    routes = routes.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("shard", "place"))).alias("routes"))
-    parts_of = texts.join(routes, "doc_id").select("doc_id", "text", "routes").mapInArrow(_stretches(window, k), "shard int, doc_id long, start long, text binary")
+    passages = texts.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(_passages, "doc_id long, start long, words binary")
+    passages = s.save(passages.withColumn("shard", shard), "passages")
+    routes = routes.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "start", "end")).alias("routes"))
+    parts_of = texts.join(routes, "doc_id").select("doc_id", "text", "routes").mapInArrow(_stretches, "shard int, doc_id long, start long, text binary")
     parts_of = s.save(parts_of, "stretches")
-    s.drop("windows")
     copies_of = parts_of.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_DOCS).cast("int").alias("copies"))
     copies_of = F.broadcast(copies_of) if shards < 100_000 else copies_of
     heads = passages.join(copies_of, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    heads = heads.select("shard", "copy", F.lit(0).alias("kind"), "doc_id", "start", F.col("words").alias("text"), "places")
+    heads = heads.select("shard", "copy", F.lit(0).alias("kind"), "doc_id", "start", F.col("words").alias("text"))
     tails = parts_of.join(copies_of, "shard")
-    tails = tails.select("shard", F.pmod(F.xxhash64("doc_id", "start"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("kind"), "doc_id", "start", "text", F.lit(None).cast("array<long>").alias("places"))
+    tails = tails.select("shard", F.pmod(F.xxhash64("doc_id", "start"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("kind"), "doc_id", "start", "text")
     both = heads.union(tails).repartition(parts, "shard", "copy").sortWithinPartitions("shard", "copy", "kind", "doc_id", "start")
-    spans = s.save(both.mapInArrow(_located(window, k), "doc_id long, spans array<long>"), "spans")
+    spans = s.save(both.mapInArrow(_located(window), "doc_id long, spans array<long>"), "spans")
     s.free()
     spans = spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
     changed = texts.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, key binary, n_removed long, kept_sha256 string, kept binary")
