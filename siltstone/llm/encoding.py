@@ -1,7 +1,7 @@
 """Whole-text encoding with the tokenizers library, by distinct pieces.
 
 A text is cut at single spaces and line feeds between other characters. The vocabularies' own splitting patterns
-always cut there, so a text's ids are its pieces' ids in a row; each distinct piece is encoded once a task (until a
+always cut there, so a text's ids are its pieces' ids in a row; each distinct piece is encoded once a Python worker (until a
 bounded table of pieces is full and starts anew). Texts with other white space next to such a cut go whole.
 """
 
@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 
-MOST_PIECES = 500_000  # in a task's table
+MOST_PIECES = 900_000  # in a table
 LONGEST = 200  # characters of a piece that is kept in it
 
 _ODD = re.compile(r"[ \n](?=\s)|(?<=[^\S \n])[ \n]|[ \n]\Z")
@@ -31,6 +31,17 @@ def tokenizer(path: str):
     return _LOADED[path]
 
 
+_KEPT: dict = {}
+
+
+def kept(kind, *args):
+    """An encoder that this Python worker keeps for its later tasks; its tables only save work."""
+    key = (kind.__name__, *args)
+    if key not in _KEPT:
+        _KEPT[key] = kind(*args)
+    return _KEPT[key]
+
+
 class PieceEncoder:
     """Ids of whole texts as little-endian unsigned bytes, 2 or 4 each as the vocabulary needs."""
 

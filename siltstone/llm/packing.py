@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, docs_of, spread
-from .encoding import PieceEncoder
+from .encoding import PieceEncoder, kept
 
 WINDOW, END = 4096, 2
 
 
 def _encode(path: str, end_id: int, spaces_matter: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(path, spaces_matter)
+        encoder = kept(PieceEncoder, path, spaces_matter)
         width = encoder.dtype.itemsize
         end, part, at = np.array([end_id], encoder.dtype).tobytes(), TaskContext.get().partitionId(), 0
         for batch in batches:

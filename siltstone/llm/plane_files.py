@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, docs_of
-from .encoding import PieceEncoder
+from .encoding import PieceEncoder, kept
 
 MAGIC, BLOCK, FILE_IDS = b"SLTP", 1 << 16, 1 << 22
 BYTE, BIT = 1, 2
@@ -134,7 +134,7 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
 
 def _write(folder: str, path: str, end_id: int, block: int, kind: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(path, spaces_matter=True)
+        encoder = kept(PieceEncoder, path, True)
         end = np.array([end_id], encoder.dtype).tobytes()
         part, store, where = TaskContext.get().partitionId(), *_store(folder)
         docs, texts, size, k, done = [], [], 0, 0, []

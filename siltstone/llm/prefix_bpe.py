@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import docs_of, spread
-from .encoding import PieceEncoder
+from .encoding import PieceEncoder, kept
 
 MOST_PREFIXES = 400_000
 _LOADED: dict = {}
@@ -180,7 +180,7 @@ class PatternEncoder(PieceEncoder):
 
 def _round_trip(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PatternEncoder(path, pattern)
+        encoder = kept(PatternEncoder, path, pattern)
         size = max(encoder.bpe.ranks.values()) + 1
         decimal, token = [str(i) for i in range(size)], [b""] * size
         for t, i in encoder.bpe.ranks.items():

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import docs_of, spread
+from .encoding import kept
 
 MARK = "▁"
 MOST_WORDS = 1_000_000  # terminal counts kept in a task
@@ -115,9 +116,13 @@ class Counter:
         return [sum(map(get, t)) for t in texts]
 
 
+def _counter(path: str) -> Counter:
+    return Counter(load_scores(path))
+
+
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(load_scores(path))
+        counter = kept(_counter, path)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
