@@ -52,6 +52,8 @@ class PieceEncoder:
         self.inner: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.line = self._raw(["\n"])[0]
+        n = self.tokenizer.normalizer
+        self.lower = n is not None and n.normalize_str("AZ") == "az"  # A-Z may then be lower-cased before
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -75,7 +77,7 @@ class PieceEncoder:
         return self._spaced(texts) if self.keep else self._dropped(texts)
 
     def _dropped(self, texts):
-        split = [t.split(" ") if t else [] for t in texts]
+        split = [(t.encode().lower().decode() if self.lower else t).replace("\n", " ").split(" ") if t else [] for t in texts]
         self._learn(self.first, set().union(*split), "")
         get = self.first.__getitem__
         return [b"".join(map(get, s)) for s in split]
