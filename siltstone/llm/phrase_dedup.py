@@ -62,13 +62,18 @@ def _text_key(words: list[bytes]) -> int:
     return int.from_bytes(sha256(b" ".join(words)).digest()[:8], "little", signed=True)
 
 
-def _anchors(window: int, k: int):
-    """(anchor, text key, place) of each anchor of each text."""
+def _among(batch: pa.RecordBatch, bits, hashed: bool = False) -> pa.RecordBatch:
+    ids = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+    return batch.filter(pa.array(in_bits(bits.value, ids if hashed else mix(ids))))
+
+
+def _anchors(window: int, k: int, singles):
+    """(anchor, text key, place) of each anchor of each text but copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
-            for text in batch.column(1).to_pylist():
+            for text in _among(batch, singles).column(1).to_pylist():
                 words = (text or b"").split()
                 if len(words) < window:
                     continue
@@ -86,15 +91,16 @@ def _anchors(window: int, k: int):
     return run
 
 
-def _windows(window: int, k: int, recurring):
-    """(h1, h2, doc_id, start, key) of the windows whose anchor recurs."""
+def _windows(window: int, k: int, singles, recurring):
+    """(h1, h2, doc_id, start) of the windows whose anchor recurs, of each text but copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(parts):
-            return pa.RecordBatch.from_arrays(_longs(*(np.concatenate(x) for x in zip(*parts, strict=True))), ["h1", "h2", "doc_id", "start", "key"])
+            return pa.RecordBatch.from_arrays(_longs(*(np.concatenate(x) for x in zip(*parts, strict=True))), ["h1", "h2", "doc_id", "start"])
 
         parts, size = [], 0
         for batch in batches:
+            batch = _among(batch, singles)
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = (text or b"").split()
                 if len(words) < window:
@@ -107,7 +113,7 @@ def _windows(window: int, k: int, recurring):
                 keep = np.flatnonzero(np.repeat(hit, np.diff(np.append(some, len(at)))))
                 h1, h2 = shingle_hashes(words, window)[keep], shingle_hashes(words, window, 1)[keep]
                 m = len(keep)
-                parts.append((h1, h2, np.full(m, doc, np.int64), keep, np.full(m, _text_key(words), np.int64)))
+                parts.append((h1, h2, np.full(m, doc, np.int64), keep))
                 size += m
                 if size > 60_000:
                     yield out(parts)
@@ -118,11 +124,12 @@ def _windows(window: int, k: int, recurring):
     return run
 
 
-def _chosen(bits):
+def _chosen(bits, hashed: bool = False):
+    """Rows whose first column, an id or a hash, may be in the bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(in_bits(bits.value, mix(ids.view(np.uint64)))))
+            yield _among(batch, bits, hashed)
 
     return run
 
@@ -254,24 +261,28 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
     all_docs = s.save(docs.mapInArrow(_digests, "doc_id long, n_words long, key binary"), "documents")
     firsts = s.save(all_docs.where(F.col("n_words") >= window).groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")), "classes")
 
-    rows = docs.mapInArrow(_anchors(window, k), "anchor long, key long, place long")
+    # a copy adds nothing: its class's first text has the same windows, earlier. Some copies get through the bitmap.
+    singles = membership(spark, firsts, "first_id")
+    rows = docs.mapInArrow(_anchors(window, k, singles), "anchor long, key long, place long")
     seen = rows.groupBy("anchor").agg(*(f(c).alias(f"{n}_{c}") for c in ("key", "place") for n, f in (("lo", F.min), ("hi", F.max))))
     recurring = s.save(seen.where("lo_key < hi_key or lo_place < hi_place").select("anchor"), "anchors")
     s.free()
     bits = membership(spark, recurring, "anchor", hashed=True)
-    windows = docs.mapInArrow(_windows(window, k, bits), "h1 long, h2 long, doc_id long, start long, key long")
+    windows = docs.mapInArrow(_windows(window, k, singles, bits), "h1 long, h2 long, doc_id long, start long")
     windows = s.save(windows, "windows")
     s.drop("anchors")
 
-    ends = [f(c).alias(f"{n}_{c}") for c in ("key", "start") for n, f in (("lo", F.min), ("hi", F.max))]
-    found = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), *ends).where("lo_key < hi_key or lo_start < hi_start")
+    at = F.struct("doc_id", "start")
+    found = windows.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first < last")
     found = s.save(found.select("h1", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start")), "found")
     s.free()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(parts, found.count() // SHARD_WORDS)
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
     first = found.select("h1", shard.alias("shard"), F.col("doc_id").alias("first_id"), F.col("start").alias("first_start"))
-    routes = windows.select("h1", "doc_id", "start").join(first, "h1").where("doc_id <> first_id or start <> first_start")
+    repeated = membership(spark, found, "h1", hashed=True)
+    routes = windows.select("h1", "doc_id", "start").mapInArrow(_chosen(repeated, hashed=True), "h1 long, doc_id long, start long")
+    routes = routes.join(first, "h1").where("doc_id <> first_id or start <> first_start")
     routes = routes.groupBy("doc_id", "shard").agg(F.min("start").alias("start"), (F.max("start") + window).alias("end"))
     routes = s.save(routes, "routes")
     s.drop("windows")
