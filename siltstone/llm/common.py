@@ -187,6 +187,19 @@ def membership(spark: SparkSession, df: DataFrame, column: str, hashed: bool = F
 # ---- Arrow helpers ---------------------------------------------------------------------------------
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows: a worker then has Python objects of one part only.
+
+    After the last part, Arrow returns what it holds of freed memory, as workers outlive tasks.
+    """
+    try:
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                yield batch.slice(i, rows)
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
 def per_row(df: DataFrame, schema: str, make: Callable[[], Callable[[tuple], tuple]], flush: int = 4096) -> DataFrame:
     """mapInArrow where ``make()``, called once a task, returns a function from a row's values to output values."""
     from pyspark.sql.pandas.types import to_arrow_schema

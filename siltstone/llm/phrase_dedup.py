@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, docs_of, in_bits, membership, mix, shingle_hashes, spread
+from .common import Scratch, docs_of, in_bits, membership, mix, shingle_hashes, slices, spread
 
 WINDOW, ANCHOR = 20, 8
 PHRASE = 12  # words of a phrase in an automaton: the run of smallest hash in each window
@@ -45,7 +45,7 @@ def anchor_starts(words: list[bytes], window: int, k: int) -> tuple[np.ndarray,
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         n, out = [], []
         for text in batch.column(1).to_pylist():
             words = (text or b"").split()
@@ -72,7 +72,7 @@ def _anchors(window: int, k: int, singles):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for text in _among(batch, singles).column(1).to_pylist():
                 words = (text or b"").split()
                 if len(words) < window:
@@ -99,7 +99,7 @@ def _windows(window: int, k: int, singles, recurring):
             return pa.RecordBatch.from_arrays(_longs(*(np.concatenate(x) for x in zip(*parts, strict=True))), ["h1", "h2", "doc_id", "start"])
 
         parts, size = [], 0
-        for batch in batches:
+        for batch in slices(batches):
             batch = _among(batch, singles)
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = (text or b"").split()
@@ -136,7 +136,7 @@ def _chosen(bits, hashed: bool = False):
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, runs of start and end) -> (doc_id, start, words) of each passage."""
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for doc, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             words = text.split()
@@ -200,7 +200,7 @@ def _located(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, passages, automaton = None, [], None
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for shard, copy, kind, doc, start, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (shard, copy) != now:
@@ -220,19 +220,18 @@ def _located(window: int):
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, routes of shard, start and end) -> the stretch of the text for each shard."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, 1024):
-            out = []
-            for doc, text, routes in zip(*(c.to_pylist() for c in batch.slice(i, 1024).columns), strict=True):
-                words = text.split()
-                out += [(r["shard"], doc, r["start"], b" ".join(words[r["start"] : r["end"]])) for r in routes]
-            c = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary())], ["shard", "doc_id", "start", "text"])
+    for batch in slices(batches):
+        out = []
+        for doc, text, routes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words = text.split()
+            out += [(r["shard"], doc, r["start"], b" ".join(words[r["start"] : r["end"]])) for r in routes]
+        c = list(zip(*out, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary())], ["shard", "doc_id", "start", "text"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, spans) -> what is left of the words."""
-    for batch in batches:
+    for batch in slices(batches):
         keys, removed, kept, texts = [], [], [], []
         for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             words = (text or b"").split()
