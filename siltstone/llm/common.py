@@ -152,7 +152,8 @@ def in_bits(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 def membership(spark: SparkSession, df: DataFrame, column: str, hashed: bool = False):
     """Broadcasts a bitmap of a long column's values (16 bits a value, 64 MB at most; then more false positives).
 
-    The bitmap is or-ed together on the executors in slices, so neither a task nor the driver holds the values.
+    The bitmap is or-ed together on the executors in slices, so neither a task nor the driver holds the values. The
+    slices come in one job: fetching them partition by partition costs a job for each.
     """
     n = df.count()
     size = Bits(n).size
@@ -177,9 +178,9 @@ def membership(spark: SparkSession, df: DataFrame, column: str, hashed: bool = F
         for i, x in have.items():
             yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int32()), "b": pa.array([x.tobytes()], pa.binary())})
 
-    rows = df.select(column).where(F.col(column).isNotNull()).mapInArrow(per_task, "i int, b binary").repartition("i").mapInArrow(merge, "i int, b binary")
+    rows = df.select(column).where(F.col(column).isNotNull()).mapInArrow(per_task, "i int, b binary").repartition(-(-size // 8 // slice_bytes), "i").mapInArrow(merge, "i int, b binary")
     whole = np.zeros(size // 8, np.uint8)
-    for r in rows.toLocalIterator():
+    for r in rows.collect():
         whole[r["i"] * slice_bytes : (r["i"] + 1) * slice_bytes] = np.frombuffer(r["b"], np.uint8)
     return spark.sparkContext.broadcast(whole)
 
