@@ -296,13 +296,15 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
     extra = firsts.where("first_id < last_id").select("key", "first_id")
     copies = all_docs.join(extra, "key").where("doc_id > first_id").select("doc_id", "key").distinct()
     copies = s.save(copies, "copies")
+    # passages and routes join the texts at once: one shuffle of texts for both
+    routes = routes.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "start", "end")).alias("routes"))
     texts = docs.mapInArrow(_chosen(wanted), "doc_id long, text binary").join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
+    texts = texts.join(runs, "doc_id", "left").join(routes, "doc_id", "left").where("runs is not null or routes is not null")
     texts = s.save(texts, "texts")
 
-    passages = texts.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(_passages, "doc_id long, start long, words binary")
+    passages = texts.where("runs is not null").select("doc_id", "text", "runs").mapInArrow(_passages, "doc_id long, start long, words binary")
     passages = s.save(passages.withColumn("shard", shard), "passages")
-    routes = routes.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "start", "end")).alias("routes"))
-    parts_of = texts.join(routes, "doc_id").select("doc_id", "text", "routes").mapInArrow(_stretches, "shard int, doc_id long, start long, text binary")
+    parts_of = texts.where("routes is not null").select("doc_id", "text", "routes").mapInArrow(_stretches, "shard int, doc_id long, start long, text binary")
     parts_of = s.save(parts_of, "stretches")
     copies_of = parts_of.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_DOCS).cast("int").alias("copies"))
     copies_of = F.broadcast(copies_of) if shards < 100_000 else copies_of
@@ -314,7 +316,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
     spans = s.save(both.mapInArrow(_located(window), "doc_id long, spans array<long>"), "spans")
     s.free()
     spans = spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
-    changed = texts.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, key binary, n_removed long, kept_sha256 string, kept binary")
+    changed = texts.select("doc_id", "text").join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, key binary, n_removed long, kept_sha256 string, kept binary")
     changed = s.save(changed.dropDuplicates(["doc_id", "key"]), "changed")
 
     out = all_docs.join(changed, ["doc_id", "key"], "left").join(copies.withColumn("copy", F.lit(True)), ["doc_id", "key"], "left")
