@@ -107,12 +107,12 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def corpus_counts(spark: SparkSession, docs: DataFrame, k: int):
-    """Broadcasts one byte per hashed counter over all documents: a step of the count. At most MOST_COUNTERS bytes."""
+    """Broadcasts one byte per hashed counter over all documents: a step of the count. At most MOST_COUNTERS bytes, in one job."""
     letters = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = max(SLICE, min(MOST_COUNTERS, 1 << max(0, int(letters // 48)).bit_length()))
     rows = docs.select(F.col("text").cast("binary")).mapInArrow(_counters(k, width), "i int, c binary").repartition("i").mapInArrow(_add, "i int, c binary")
     whole = np.zeros(width, np.uint8)
-    for r in rows.toLocalIterator():
+    for r in rows.collect():
         part = np.frombuffer(r["c"], np.uint8)
         whole[r["i"] * SLICE : (r["i"] + 1) * SLICE] = part[: max(0, width - r["i"] * SLICE)]
     return spark.sparkContext.broadcast(whole)
