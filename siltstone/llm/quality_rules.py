@@ -1,11 +1,12 @@
-"""Quality rules: exact rule statistics of whole texts, hard limits, and an isolation forest over the statistics.
-
-The forest is fitted on a bounded sample of labelled documents (``FIT_ROWS``, those of smallest hash, so the same ones
-at any parallelism). Each tree splits a subsample at random values of random statistics; a document that few splits
-isolate in many trees is anomalous. How often a statistic is drawn, and the threshold, are calibrated from the labels:
-a statistic's weight is how far its ranks tell good from bad rows (of the area under its curve), so that odd but
-clean habits, such as repeated headings, isolate nobody. The threshold is calibrated from the labelled rows: the lowest one that loses at
-most ``CLEAN_LOSS`` of those labelled good, so that clean documents stay.
+"""Quality rules: exact rule statistics of whole texts, hard limits, and isolation forests over the statistics.
+
+The forests are fitted on a bounded sample of labelled documents (``FIT_ROWS``, those of smallest hash, so the same ones
+at any parallelism), on those labelled good: one forest over all statistics, which draws each equally often, and one
+over each statistic alone, so that none is outweighed. Splits are drawn over the whole range a share can have, not only
+the sample's: what lies outside the clean rows is isolated early even where those are all equal. A document's anomaly
+is its largest score in relation to its forest's limit, the lowest one that loses at most an equal part of
+``CLEAN_LOSS`` of those labelled good. Fit and limits take the clean shares moved by up to ``ROOM``: one symbol in a
+short clean text rejects nobody.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, docs_of, shingle_hashes, spread
+from .common import Scratch, docs_of, mix, shingle_hashes, spread
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MOST_REPEATED = 50, 50  # base rules: words; percent of words in repeated windows
-FIT_ROWS, TREES, SUBSAMPLE, CLEAN_LOSS = 20_000, 200, 512, 0.001
+FIT_ROWS, TREES, SUBSAMPLE, CLEAN_LOSS, ROOM = 20_000, 50, 512, 0.001, 0.02  # room: one in the fewest words that pass
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 OTHERS = ["n_lines", "n_distinct", "n_upper", "n_digits", "n_marks"]
 STATS = COUNTS + OTHERS
@@ -54,10 +55,10 @@ def rule_stats(text: bytes | None) -> tuple[int, ...]:
 
 
 def ratios(stats: np.ndarray) -> np.ndarray:
-    """What the forest looks at: shares, which don't depend on length."""
+    """What the forests look at: shares from 0 to 1, which don't depend on length."""
     words, chars, symbols, dup, repeat, lines, distinct, upper, digits, marks = stats.astype(np.float64).T
     w, c = np.maximum(words, 1), np.maximum(chars, 1)
-    return np.stack([chars / w, symbols / w, dup / np.maximum(lines, 1), repeat / w, np.minimum(1, distinct / np.sqrt(w) / 10), upper / c, digits / c, marks / w], 1)
+    return np.stack([chars / (chars + 5 * w), symbols / (symbols + w), dup / np.maximum(lines, 1), repeat / w, np.minimum(1, distinct / np.sqrt(w) / 10), upper / c, digits / c, marks / (marks + w)], 1)
 
 
 class IsolationForest:
@@ -71,33 +72,34 @@ class IsolationForest:
         """Mean path length of an unsuccessful search in a random binary tree of n rows."""
         return 0.0 if n < 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n if n > 2 else 1.0
 
-    def fit(self, x: np.ndarray, weights: np.ndarray | None = None) -> IsolationForest:
-        weights = np.ones(x.shape[1]) if weights is None else weights
-        rng = np.random.default_rng(self.seed)
+    def fit(self, x: np.ndarray, shares: bool = False) -> IsolationForest:
+        """shares: splits are drawn over the whole of a node's part of [0, 1], else over the range of its rows."""
+        rng, dims = np.random.default_rng(self.seed), x.shape[1]
         size = min(self.subsample, len(x))
-        self.size, deepest = size, int(np.ceil(np.log2(max(size, 2)))) + 4
+        self.size, deepest = size, int(np.ceil(np.log2(max(size, 2)))) + 4 * (dims if shares else 1)
         for _ in range(self.n):
             feature, value, left, right, length = [], [], [], [], []
 
-            def grow(rows: np.ndarray, depth: int) -> int:
+            def grow(rows: np.ndarray, depth: int, lo: np.ndarray, hi: np.ndarray) -> int:
                 at = len(feature)
                 for a, v in ((feature, -1), (value, 0.0), (left, 0), (right, 0), (length, depth + self.usual(len(rows)))):
                     a.append(v)
-                part = x[rows]
-                lo, hi = part.min(0), part.max(0)
-                usable = np.flatnonzero((hi > lo) & (weights > 0))
+                if not shares and len(rows):
+                    lo, hi = x[rows].min(0), x[rows].max(0)
+                usable = np.flatnonzero(hi > lo)
                 if len(rows) > 1 and depth < deepest and len(usable):
-                    f = int(rng.choice(usable, p=weights[usable] / weights[usable].sum()))
+                    f = int(usable[rng.integers(len(usable))])
                     v = float(rng.uniform(lo[f], hi[f]))
-                    below = part[:, f] <= v
-                    if below.any() and not below.all():
+                    below = x[rows, f] <= v
+                    if shares or (below.any() and not below.all()):
                         feature[at], value[at] = f, v
-                        left[at] = grow(rows[below], depth + 1)
-                        right[at] = grow(rows[~below], depth + 1)
+                        cut = np.arange(dims) == f
+                        left[at] = grow(rows[below], depth + 1, lo, np.where(cut, v, hi))
+                        right[at] = grow(rows[~below], depth + 1, np.where(cut, v, lo), hi)
                 return at
 
             if size:
-                grow(rng.choice(len(x), size, replace=False), 0)
+                grow(rng.choice(len(x), size, replace=False), 0, np.zeros(dims), np.ones(dims))
                 self.trees.append(tuple(map(np.array, (feature, value, left, right, length))))
         return self
 
@@ -119,19 +121,35 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.trees) / max(self.usual(self.size), 1e-9))
 
 
-def told_apart(x: np.ndarray, good: np.ndarray) -> np.ndarray:
-    """For each column, 2 * |area under its curve - 1/2| against the labels to the power 8; 0 where that is under 0.01."""
-    n, m = int(good.sum()), int((~good).sum())
-    if not n or not m:
-        return np.ones(x.shape[1])
-    out = []
+def moved(x: np.ndarray) -> np.ndarray:
+    """Each share moved by up to ``ROOM``, inside [0, 1]. By how much follows from the row alone."""
+    h, out = np.zeros(len(x), np.uint64), []
     for c in x.T:
-        _, back, count = np.unique(c, return_inverse=True, return_counts=True)
-        rank = (np.cumsum(count) - (count - 1) / 2)[back]  # ties share their mean rank
-        area = (rank[good].sum() - n * (n + 1) / 2) / (n * m)
-        out.append((2 * abs(area - 0.5)) ** 8)
-    out = np.array(out)
-    return np.where(out >= 0.01, out, 0) if (out >= 0.01).any() else np.ones(x.shape[1])
+        h = mix(h ^ np.ascontiguousarray(c).view(np.uint64))
+    for c in x.T:
+        h = mix(h + np.uint64(1))
+        out.append(np.clip(c + ROOM * (h / 2.0**63 - 1), 0, 1))
+    return np.stack(out, 1)
+
+
+class Forests:
+    """A forest over all shares, and one over each, whose scores are a table over the intervals between its splits."""
+
+    def __init__(self, clean: np.ndarray):
+        x = moved(clean)
+        self.joint, self.single = IsolationForest().fit(x, True), []
+        for k in range(x.shape[1]):
+            one = IsolationForest(seed=18 + k).fit(x[:, [k]], True)
+            cuts = np.unique(np.concatenate([value[feature >= 0] for feature, value, *_ in one.trees]))
+            self.single.append((cuts, one.score(np.append(cuts, 1.0)[:, None])))
+        self.limits = np.ones(1 + x.shape[1])
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([self.joint.score(x), *(table[np.searchsorted(cuts, c)] for c, (cuts, table) in zip(x.T, self.single, strict=True))], 1)
+
+    def anomaly(self, x: np.ndarray) -> np.ndarray:
+        """Above 1: beyond the limit of some forest."""
+        return (self.scores(x) / self.limits).max(1)
 
 
 def threshold(scores: np.ndarray, good: np.ndarray, loss: float = CLEAN_LOSS) -> float:
@@ -142,18 +160,17 @@ def threshold(scores: np.ndarray, good: np.ndarray, loss: float = CLEAN_LOSS) ->
     return float(clean[len(clean) - 1 - int(loss * len(clean))])
 
 
-
 def _judge(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, limit = model.value
+        forests = model.value
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
                 stats = np.array(list(map(rule_stats, part.column(1).to_pylist())), np.int64).reshape(-1, len(STATS))
-                score = forest.score(ratios(stats))
+                score = forests.anomaly(ratios(stats)) if forests else np.zeros(len(stats))
                 failed = (stats[:, 0] < MIN_WORDS) | (100 * stats[:, 4] > MOST_REPEATED * stats[:, 0])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(stats[:, k]) for k in range(len(COUNTS))), pa.array(failed), pa.array(score), pa.array(~failed & (score <= limit))],
+                    [part.column(0), *(pa.array(stats[:, k]) for k in range(len(COUNTS))), pa.array(failed), pa.array(score), pa.array(~failed & (score <= 1))],
                     ["doc_id", *COUNTS, "base_failed", "anomaly", "kept"],
                 )
 
@@ -161,7 +178,7 @@ def _judge(model):
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS):
-    """Forest and threshold from at most ``rows`` labelled documents; conflicting labels of an id count as bad."""
+    """Forests and limits from at most ``rows`` labelled documents; conflicting labels of an id count as bad."""
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     marks = F.broadcast(marks)  # ``rows`` at most
@@ -170,9 +187,13 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = FIT
     got = np.array(stats.orderBy("doc_id", *STATS).limit(4 * rows).collect(), np.int64).reshape(-1, len(STATS) + 2)
     x, good = got[:, 1:-1], got[:, -1] > 0
     passed = (x[:, 0] >= MIN_WORDS) & (100 * x[:, 4] <= MOST_REPEATED * x[:, 0])
-    f = ratios(x[passed])
-    forest = IsolationForest().fit(f, told_apart(f, good[passed]))
-    return forest, threshold(forest.score(f), good[passed])
+    clean = ratios(x[passed & good])
+    if not len(clean):
+        return None
+    forests = Forests(clean)
+    scores = forests.scores(moved(clean))
+    forests.limits = np.array([threshold(c, np.ones(len(c), bool), CLEAN_LOSS / scores.shape[1]) for c in scores.T])
+    return forests
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,8 +206,8 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     anomaly, kept; a row for each row.
 
-    Null, empty or blank text: zero counts, fails the base rules. Null and equal doc_ids go through. Without labelled
-    documents that pass the base rules there is no forest, and what passes those is kept.
+    Null, empty or blank text: zero counts, fails the base rules. Null and equal doc_ids go through. Without documents
+    labelled good that pass the base rules there are no forests, and what passes those is kept.
     """
     docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")))
     model = spark.sparkContext.broadcast(fit(spark, docs, labels))

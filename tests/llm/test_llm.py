@@ -230,6 +230,36 @@ def test_quality_rules(spark, docs, rows, empty):
     assert none.count() == 0
 
 
+def test_quality_rules_every_statistic(spark):
+    r = random.Random(4)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(2000)]
+
+    def clean(n):
+        w = [r.choice(vocab) for _ in range(n)]
+        return "\n".join(" ".join(w[i : i + 12]).capitalize() + "." for i in range(0, n, 12))
+
+    some = clean(120)
+    w = some.split()
+    cycle = [a + b for a in "vwxyz" for b in "vwxyz"]  # few words, no three in a row twice
+    odd = {
+        "symbols": some.replace(" ", " ## "),
+        "word length": " ".join(x * 9 for x in w),
+        "lines": "\n".join(f"so\n{x}" for x in w),
+        "repeats": " ".join(w[:65] + [x for i in range(15) for x in ("ab cd ef", w[65 + i])]),
+        "distinct": " ".join(dict.fromkeys(["".join(x) for x in cycle])) + " " + " ".join(r.choice(cycle) for _ in range(400)),
+        "upper": some.upper(),
+        "digits": " ".join(str(r.randint(1000, 99999)) for _ in w),
+        "marks": some.replace(" ", "!?, "),
+    }
+    texts = [clean(r.randint(60, 300)) for _ in range(400)] + [clean(100).replace(" ", " #$ ") for _ in range(40)]
+    labels = spark.createDataFrame([(i, int(i < 400), 0) for i in range(440)], "doc_id long, quality int, toxic int")
+    texts += [some, some.replace(" ", " # ", 1), *odd.values()]
+    got = {x.doc_id: x for x in quality_rules.judge(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), labels).collect()}
+    assert sum(not got[i].kept for i in range(400)) <= 1 and not any(got[i].kept for i in range(400, 440))
+    assert got[440].kept and got[441].kept
+    assert {k: (got[442 + i].base_failed, got[442 + i].kept) for i, k in enumerate(odd)} == {k: (False, False) for k in odd}
+
+
 def test_isolation_forest_finds_outliers():
     r = np.random.default_rng(0)
     x = np.concatenate([r.normal(0, 1, (500, 2)), r.normal(9, 1, (10, 2))])
