@@ -5,7 +5,7 @@ at any parallelism), on those labelled good: one forest over all statistics, whi
 over each statistic alone, so that none is outweighed. Splits are drawn over the whole range a share can have, not only
 the sample's: what lies outside the clean rows is isolated early even where those are all equal. A document's anomaly
 is its largest score in relation to its forest's limit, the lowest one that loses at most an equal part of
-``CLEAN_LOSS`` of those labelled good. Fit and limits take the clean shares moved by up to ``ROOM``: one symbol in a
+``CLEAN_LOSS`` of all rows labelled good: only the trees come from the sample. Fit and limits take the clean shares moved by up to ``ROOM``: one symbol in a
 short clean text rejects nobody.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, docs_of, mix, shingle_hashes, spread
+from .common import Scratch, docs_of, in_bits, membership, mix, shingle_hashes, spread
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MOST_REPEATED = 50, 50  # base rules: words; percent of words in repeated windows
@@ -152,14 +152,6 @@ class Forests:
         return (self.scores(x) / self.limits).max(1)
 
 
-def threshold(scores: np.ndarray, good: np.ndarray, loss: float = CLEAN_LOSS) -> float:
-    """Lowest score above which at most ``loss`` of the good rows are; 1 without good rows."""
-    clean = np.sort(scores[good])
-    if not len(clean):
-        return 1.0
-    return float(clean[len(clean) - 1 - int(loss * len(clean))])
-
-
 def _judge(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forests = model.value
@@ -177,29 +169,61 @@ def _judge(model):
     return run
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS):
-    """Forests and limits from at most ``rows`` labelled documents; conflicting labels of an id count as bad."""
-    marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    marks = F.broadcast(marks)  # ``rows`` at most
-    sample = docs.join(marks, "doc_id").select("doc_id", "text", "quality")
-    stats = Scratch(spark, "quality").save(sample.mapInArrow(_labelled, ", ".join(f"{s} long" for s in ["doc_id", *STATS, "quality"])), "sample")
-    got = np.array(stats.orderBy("doc_id", *STATS).limit(4 * rows).collect(), np.int64).reshape(-1, len(STATS) + 2)
-    x, good = got[:, 1:-1], got[:, -1] > 0
-    passed = (x[:, 0] >= MIN_WORDS) & (100 * x[:, 4] <= MOST_REPEATED * x[:, 0])
-    clean = ratios(x[passed & good])
-    if not len(clean):
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Forests | None:
+    """Forests from at most ``rows`` documents labelled good, limits from all of them; conflicting labels of an id
+    count as bad. Rows of an id that differ are documents of their own."""
+    s = Scratch(spark, "quality")
+    marks = s.save(labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")), "marks")
+    good = marks.where("quality > 0").select("doc_id")
+    found = docs.where("doc_id is not null").mapInArrow(_labelled(membership(spark, good, "doc_id")), ", ".join(f"{c} long" for c in ["doc_id", *STATS]))
+    # ids in the bitmap by chance are dropped by the join
+    clean = s.save(found.groupBy("doc_id", *STATS).agg(F.count("*").alias("n")).join(good, "doc_id", "left_semi"), "clean")
+    clean = clean.where(f"n_words >= {MIN_WORDS} and 100 * n_repeat_words <= {MOST_REPEATED} * n_words")
+    total, distinct = clean.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    order, some = F.xxhash64("doc_id", *STATS), 1.2 * rows + 1000  # so many are expected below the bound, so that not all go to the driver
+    near = clean.where(order <= int(some / distinct * 2**64) - 2**63) if distinct > some else clean
+    sample = near.select("doc_id", *STATS).orderBy(order, "doc_id", *STATS).limit(rows).collect()
+    if not sample:
         return None
-    forests = Forests(clean)
-    scores = forests.scores(moved(clean))
-    forests.limits = np.array([threshold(c, np.ones(len(c), bool), CLEAN_LOSS / scores.shape[1]) for c in scores.T])
+    forests = Forests(ratios(np.array(sample, np.int64)[:, 1:]))
+    parts = len(forests.limits)
+    over = int(CLEAN_LOSS / parts * total)  # so many rows of each forest may be above its limit
+    scores = clean.select(*STATS, "n").mapInArrow(_highest(spark.sparkContext.broadcast(forests), over + 1), "forest int, score double, n long")
+    scores = s.save(scores.groupBy("forest", "score").agg(F.sum("n").alias("n")), "scores")
+    limits = []
+    for k in range(parts):
+        top = scores.where(F.col("forest") == k).select("score", "n").orderBy(F.desc("score")).limit(over + 1).collect()
+        limits.append(top[int(np.searchsorted(np.cumsum([r["n"] for r in top]), over, "right"))]["score"])
+    forests.limits = np.array(limits)
     return forests
 
 
-def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        c = list(zip(*map(rule_stats, batch.column(1).to_pylist()), strict=True)) or [[]] * len(STATS)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in c), batch.column(2).cast(pa.int64())], ["doc_id", *STATS, "quality"])
+def _labelled(ids):
+    """Statistics of the rows whose doc_id is in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                part = part.filter(pa.array(in_bits(ids.value, mix(part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))))
+                stats = np.array(list(map(rule_stats, part.column(1).to_pylist())), np.int64).reshape(-1, len(STATS))
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, stats.T)], ["doc_id", *STATS])
+
+    return run
+
+
+def _highest(model, most: int):
+    """Each forest's scores of the moved rows, without those that ``most`` rows of the batch exceed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 8192):
+                *stats, n = (c.to_numpy() for c in batch.slice(i, 8192).columns)
+                for k, score in enumerate(model.value.scores(moved(ratios(np.stack(stats, 1)))).T):
+                    at = np.flatnonzero(score >= np.partition(score, -most)[-most]) if len(score) > most else np.arange(len(score))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(score[at]), pa.array(n[at])], ["forest", "score", "n"])
+
+    return run
 
 
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

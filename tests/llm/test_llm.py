@@ -260,6 +260,24 @@ def test_quality_rules_every_statistic(spark):
     assert {k: (got[442 + i].base_failed, got[442 + i].kept) for i, k in enumerate(odd)} == {k: (False, False) for k in odd}
 
 
+def test_quality_limits_cover_all_labels(spark):
+    r = random.Random(6)
+    text = lambda: " ".join("".join(r.choice("abcdeXY12.") for _ in range(r.randint(1, 9))) for _ in range(r.randint(50, 70)))
+    rows = [(i, text()) for i in range(12000)]
+    rows += [(5, rows[5][1])] * 300 + [(7, text()) for _ in range(500)] + [(None, text()), (12001, "short"), (12002, None)]
+    labels = spark.createDataFrame([(i, int(i % 6 > 0)) for i, _ in rows if i is not None and i % 3] + [(8, 0)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).selectExpr("doc_id", "cast(text as binary) text")
+    forests = quality_rules.fit(spark, docs, labels, 40)
+    stats = np.array([quality_rules.rule_stats(t.encode()) for i, t in rows if i is not None and i % 3 and i != 8 and i < 12000])
+    scores = np.sort(forests.scores(quality_rules.moved(quality_rules.ratios(stats))), 0)
+    assert len(stats) > 8000 and int(0.001 / 9 * len(stats)) == 0 and forests.limits.tolist() == scores[-1].tolist()
+    quality_rules.CLEAN_LOSS, loss = 0.05, quality_rules.CLEAN_LOSS
+    try:
+        assert quality_rules.fit(spark, docs, labels, 40).limits.tolist() == scores[-1 - int(0.05 / 9 * len(stats))].tolist()
+    finally:
+        quality_rules.CLEAN_LOSS = loss
+
+
 def test_isolation_forest_finds_outliers():
     r = np.random.default_rng(0)
     x = np.concatenate([r.normal(0, 1, (500, 2)), r.normal(9, 1, (10, 2))])
