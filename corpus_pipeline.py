@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import jaccard_join, packing, phrase_dedup, quality_rules, secret_scan
@@ -40,29 +40,42 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.mapInArrow(run, SCHEMA)
 
 
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Rows with a doc_id, and a column node that no two of them share: the doc_id, or where doc_ids repeat the row's
+    place in the order of doc_id and text. Of rows equal in both, the first in the order of the others is left."""
+    docs = docs.where("doc_id is not null")
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.withColumn("node", F.col("doc_id"))
+    rows = docs.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest")).select("doc_id", "text", "rest.*")
+    return Scratch(spark, "numbered").save(rows.orderBy("doc_id", "text").withColumn("node", F.monotonically_increasing_id()), "rows")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id in each component of links; one row a doc_id (the first text in order).
+    """The document of the smallest doc_id (then the first text in order) in each component of links.
 
-    Rows without doc_id stay.
+    Texts that share a doc_id are documents of their own: those not linked to or equal to another stay. Rows without
+    doc_id stay.
     """
     docs = _plain(docs)
-    found = jaccard_join.link_components(spark, docs)
-    gone = found.where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
-    row = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars"))
-    with_id = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").withColumn("row", row).where("row = 1")
-    return with_id.select(COLUMNS).union(docs.where("doc_id is null").select(COLUMNS))
+    rows = _numbered(spark, docs)
+    found = jaccard_join.link_components(spark, rows.select(F.col("node").alias("doc_id"), "text"))
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("node")).distinct()
+    return rows.join(gone, "node", "left_anti").select(COLUMNS).union(docs.where("doc_id is null").select(COLUMNS))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words that windows repeat, joined by single spaces where any went; others as they are.
 
-    Documents of which nothing is left go. Rows without doc_id stay as they are.
+    Texts that share a doc_id are documents of their own, in order of text. Documents of which nothing is left go. Rows
+    without doc_id stay as they are.
     """
     docs = _plain(docs)
-    cut = phrase_dedup.dedup_substrings(spark, docs.where("doc_id is not null")).where("n_removed > 0").select("doc_id", F.col("kept").alias("left")).distinct()
-    out = docs.join(cut, "doc_id", "left").where("left is null or left <> ''")
+    rows = _numbered(spark, docs)
+    cut = phrase_dedup.dedup_substrings(spark, rows.select(F.col("node").alias("doc_id"), "text")).where("n_removed > 0").select(F.col("doc_id").alias("node"), F.col("kept").alias("left")).distinct()
+    out = rows.join(cut, "node", "left").where("left is null or left <> ''")
     text = F.coalesce("left", "text")
-    return out.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("left").isNotNull(), F.length("left").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    out = out.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("left").isNotNull(), F.length("left").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    return out.union(docs.where("doc_id is null").select(COLUMNS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

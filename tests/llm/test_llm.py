@@ -336,3 +336,20 @@ def test_pipeline(spark, tmp_path, rows):
             n = docs.count()
     assert docs.select("doc_id").distinct().count() == n
     assert sorted(map(tuple, docs.collect())) == sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
+
+
+def test_pipeline_shared_ids(spark):
+    import corpus_pipeline
+
+    text = lambda k, n=40: " ".join(f"{k}{i}" for i in range(n))
+    plain = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], plain)
+    taken = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    a, b, c = text("a"), text("b"), text("c")
+    near = frame([(1, a), (1, b), (1, a), (1, b + " end"), (2, a + " end"), (3, b), (4, c), (4, None), (-5, text("d")), (None, a), (None, a)])
+    want = [(1, a), (1, b), (4, c), (4, None), (-5, text("d")), (None, a), (None, a)]
+    assert taken(corpus_pipeline.near_duplicates(spark, near, "")) == sorted(want, key=str)
+    p = text("p", 25)
+    some = frame([(1, f"{a} {p}"), (1, f"{b} {p}"), (2, f"{p} {c}"), (2, text("e")), (None, p)])
+    want = [(1, f"{a} {p}"), (1, b), (2, c), (2, text("e")), (None, p)]
+    assert taken(corpus_pipeline.substrings(spark, some, "")) == sorted(want, key=str)
