@@ -20,6 +20,68 @@ def classify(local: Column, base: Column, server: Column, push: Column | None =
     )
 
 
+def sync_plan(local: DataFrame, cache: DataFrame, server: DataFrame, push: Column | None = None, pull: Column | None = None) -> DataFrame:
+    """``local(path, local_hash)``, ``cache(path, base_hash)``, ``server(path, server_hash)`` -> path, the three hashes, action.
+
+    A path that any of them has gets a row; a server that can't be reached has no rows, which is: unchanged.
+    """
+    both = local.join(cache, "path", "full_outer").join(server, "path", "full_outer")
+    return both.select("path", "local_hash", "base_hash", "server_hash", classify(F.col("local_hash"), F.col("base_hash"), F.col("server_hash"), push, pull).alias("action"))
+
+
+def changed_files(local: DataFrame, cache: DataFrame) -> DataFrame:
+    """Files whose hash isn't the one they had when last pushed."""
+    return local.join(cache.select("path", F.col("base_hash").alias("local_hash")), ["path", "local_hash"], "left_anti")
+
+
+def status_listing(remote: DataFrame, cache: DataFrame) -> DataFrame:
+    """``remote(path, total_size)`` with the version the client has: v3, or (not pulled)."""
+    shown = F.coalesce(F.concat(F.lit("v"), F.col("server_version").cast("string")), F.lit("(not pulled)"))
+    return remote.join(cache.select("path", "server_version"), "path", "left").select("path", shown.alias("local_version"), "total_size")
+
+
+def upload_places(missing: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Where the bytes of each missing hash are: its first signature. A hash without one has an error."""
+    first = signatures.groupBy("strong_hash").agg(F.min_by(F.struct("offset", "length"), "block_index").alias("s"))
+    out = missing.join(first, "strong_hash", "left").select("strong_hash", "s.offset", "s.length", F.col("s").isNull().alias("_lost"))
+    return out.withColumn("error", F.when(F.col("_lost"), F.concat(F.lit("Hash mismatch for chunk "), F.col("strong_hash")))).drop("_lost")
+
+
+def open_session(sessions: DataFrame, key: str = "root_path") -> DataFrame:
+    """The session to resume of each root: the one last updated that is neither completed nor aborted."""
+    live = sessions.where("state not in ('completed', 'aborted')")
+    return live.groupBy(key).agg(F.max_by("session_id", F.struct("updated_at", "session_id")).alias("session_id"))
+
+
+def update_sessions(sessions: DataFrame, changes: DataFrame, at: Column) -> DataFrame:
+    """Sets the state; counters that a change leaves out stay."""
+    counters = ["total_files", "completed_files", "total_bytes", "transferred_bytes"]
+    new = changes.select("session_id", F.col("state").alias("_state"), *(F.col(c).alias(f"_{c}") for c in counters))
+    out = sessions.join(new, "session_id", "left")
+    touched = F.col("_state").isNotNull()
+    return out.select(*[
+        F.coalesce(f"_{c}", c).alias(c) if c in [*counters, "state"] else F.when(touched, at).otherwise(F.col(c)).alias(c) if c == "updated_at" else F.col(c) for c in sessions.columns
+    ])
+
+
+def journal_upsert(journal: DataFrame, changes: DataFrame) -> DataFrame:
+    """``(negotiation_id, strong_hash, status)``: the changes' status wins; each pair once in them."""
+    return journal.join(changes.select("negotiation_id", "strong_hash"), ["negotiation_id", "strong_hash"], "left_anti").unionByName(changes)
+
+
+def journal_clear(journal: DataFrame, negotiations: DataFrame) -> DataFrame:
+    return journal.join(negotiations.select("negotiation_id"), "negotiation_id", "left_anti")
+
+
+def api_users(requests: DataFrame, keys: DataFrame) -> DataFrame:
+    """``requests(request_id, header)`` -> request_id, user_id: by the hash of a bearer key that isn't revoked, else null."""
+    from siltstone.functions.scalars import api_key_hash
+
+    key = F.when(F.col("header").startswith("Bearer "), F.nullif(F.trim(F.substring("header", 8, 1 << 20)), F.lit("")))
+    live = keys.where("revoked_at is null").groupBy("key_hash").agg(F.min("user_id").alias("user_id"))
+    return requests.withColumn("key_hash", api_key_hash(key)).join(live, "key_hash", "left").select("request_id", "user_id")
+
+
 def session_fold(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Last state of session files: hash and negotiation keep the last known, counters the last above 0."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -79,6 +141,27 @@ def transfer_ratio(saved: Column, transferred: Column) -> Column:
     return F.when(whole > 0, F.floor(saved / whole * 100 + 0.5)).otherwise(0).cast("long")
 
 
+def recent_with_path(jobs: DataFrame, files: DataFrame, most: int = 10) -> DataFrame:
+    """The jobs last started, with their file's path; null where the file is gone."""
+    return page(jobs, 1, most, "started_at", "job_id").join(files.select("file_id", "path"), "file_id", "left")
+
+
+def pushed_percent(saved: Column, size: Column) -> Column:
+    """Percent of a pushed file's bytes that weren't sent, halves up; 0 for an empty file."""
+    return F.when(size > 0, F.floor(saved / size * 100 + 0.5)).otherwise(0).cast("long")
+
+
+def benchmark_metrics(results: DataFrame) -> DataFrame:
+    """``results(workload, strategy, transfer_bytes, time_ms)``: bandwidth and time saved against the workload's ``full`` row."""
+    from siltstone.functions.scalars import percent
+
+    full = results.where("strategy = 'full'").select("workload", F.col("transfer_bytes").alias("_b"), F.col("time_ms").alias("_t"))
+    out = results.join(full, "workload", "left")
+    rest = F.col("strategy") != "full"
+    out = out.withColumn("bw_saved", F.when(rest, percent(F.col("_b") - F.col("transfer_bytes"), F.col("_b"))))
+    return out.withColumn("time_saved", F.when(rest, percent(F.col("_t") - F.col("time_ms"), F.col("_t")))).drop("_b", "_t")
+
+
 def page(df: DataFrame, number: int, size: int, at: str, key: str) -> DataFrame:
     return df.orderBy(F.desc(at), key).offset((number - 1) * size).limit(size)
 

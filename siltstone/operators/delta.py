@@ -12,18 +12,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def chunk_ops(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
+def chunk_ops(new: DataFrame, old: DataFrame, key: str, files: DataFrame | None = None, web: bool = False) -> DataFrame:
     """Ops of chunked versions: ``new`` and ``old`` are signatures with a pair key.
 
-    A new chunk that equals an old one (weak, strong, length) copies the first such block; others are literals, one
-    each. literal_offset is the place in the blob of all literals, new_offset the place in the new file.
+    A new chunk that equals an old one (strong hash and length; the weak one then agrees too) copies the first such
+    block; others are literals, one each. literal_offset is the place in the blob of all literals, new_offset the place
+    in the new file. With ``files(key, size)``, new files of which ``old`` has no signature are one literal, empty ones
+    too; the web form gives none for those.
     """
-    first = old.groupBy(key, "strong_hash", "weak_hash", "length").agg(F.min("block_index").alias("block"))
-    rows = new.join(first, [key, "strong_hash", "weak_hash", "length"], "left")
+    first = old.groupBy(key, "strong_hash", "length").agg(F.min("block_index").alias("block"))
+    if files is not None:
+        bare = files.select(key, F.col("size").cast("long").alias("size")).join(old.select(key).distinct(), key, "left_anti")
+        new = new.join(bare.select(key), key, "left_anti")
+    rows = new.join(first, [key, "strong_hash", "length"], "left")
     before = Window.partitionBy(key).orderBy("block_index").rowsBetween(Window.unboundedPreceding, -1)
     literal = F.when(F.col("block").isNull(), F.col("length")).otherwise(F.lit(0))
     at = F.coalesce(F.sum(literal).over(before), F.lit(0))
-    return rows.select(
+    ops = rows.select(
         key,
         F.col("block_index").alias("op_index"),
         F.when(F.col("block").isNull(), "literal").otherwise("copy").alias("kind"),
@@ -32,6 +37,11 @@ def chunk_ops(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
         F.col("offset").alias("new_offset"),
         "length",
     )
+    if files is None:
+        return ops
+    bare = bare.where("size > 0") if web else bare
+    zero = F.lit(0).cast("long")
+    return ops.union(bare.select(key, F.lit(0), F.lit("literal"), F.lit(None).cast("int"), zero, zero, "size"))
 
 
 def fixed_delta(new: bytes, old: bytes, size: int, web: bool = False) -> list[tuple[str, int | None, int, int]]:
@@ -109,18 +119,38 @@ def heat_cells(length, size):
 
 
 def patch(old: DataFrame, new: DataFrame, ops: DataFrame, old_signatures: DataFrame, key: str, old_content: str, new_content: str) -> DataFrame:
-    """Rebuilds files: copies are read from the old file, literals from the new one. key, content."""
+    """Rebuilds files: copies are read from the old file, literals from the new one. key, content.
+
+    Files meet their ops once, as one row each, and are cut where they are.
+    """
     o = ops.join(old_signatures.select(key, F.col("block_index").alias("copy_block"), F.col("offset").alias("old_offset")), [key, "copy_block"], "left")
-    o = o.join(old.select(key, F.col(old_content).alias("_old")), key).join(new.select(key, F.col(new_content).alias("_new")), key)
-    piece = lambda c, at: F.col(c).substr((F.col(at) + 1).cast("int"), F.col("length").cast("int"))
-    o = o.select(key, "op_index", F.when(F.col("kind") == "copy", piece("_old", "old_offset")).otherwise(piece("_new", "new_offset")).alias("piece"))
-    return joined(o, key, "op_index", "piece")
+    copy = F.col("kind") == "copy"
+    at = F.when(copy, F.col("old_offset")).otherwise(F.col("new_offset")).alias("at")
+    o = o.groupBy(key).agg(F.collect_list(F.struct("op_index", copy.alias("copy"), at, "length")).alias("ops"))
+    files = o.join(old.select(key, F.col(old_content).alias("_old")), key).join(new.select(key, F.col(new_content).alias("_new")), key)
+    rows = files.select(key, "_old", "_new", F.explode("ops").alias("o"))
+    piece = lambda c: F.col(c).substr((F.col("o.at") + 1).cast("int"), F.col("o.length").cast("int"))
+    return joined(rows.select(key, F.col("o.op_index").alias("op_index"), F.when(F.col("o.copy"), piece("_old")).otherwise(piece("_new")).alias("piece")), key, "op_index", "piece")
 
 
 def joined(rows: DataFrame, key: str, index: str, piece: str) -> DataFrame:
     """Byte pieces of each key in order of an index as one: key, content."""
-    parts = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(index, piece))).alias("p"))
-    return parts.select(key, F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x[piece])), "")).alias("content"))
+    return rows.groupBy(key).agg(F.coalesce(F.expr(f"listagg({piece}) within group (order by {index})"), F.lit(b"")).alias("content"))
+
+
+def pack_delta(new: DataFrame, signatures: DataFrame, key: str, content: str, size: int = 16384) -> DataFrame:
+    """``new(key, content)`` against known signatures, by content-defined chunks: key, ops (first layout), literals."""
+    from . import chunking, codecs
+
+    files = new.select(key, content)
+    sizes = files.select(key, F.octet_length(content).alias("size"))
+    ops = chunk_ops(chunking.signatures(files, content, key, size=size), signatures, key, sizes)
+    row = F.struct("op_index", "kind", F.col("copy_block").cast("long").alias("block_index"), "literal_offset", F.when(F.col("kind") == "literal", F.col("length")).alias("literal_length"), "new_offset")
+    both = files.join(ops.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("ops")), key)
+    cut = both.select(key, content, F.explode(F.filter("ops", lambda x: x["kind"] == "literal")).alias("o"))
+    cut = cut.select(key, F.col("o.op_index").alias("op_index"), F.col(content).substr((F.col("o.new_offset") + 1).cast("int"), F.col("o.literal_length").cast("int")).alias("piece"))
+    literals = joined(cut, key, "op_index", "piece").withColumnRenamed("content", "literals")
+    return both.select(key, codecs.encode_ops1("ops").alias("ops")).join(literals, key, "left").select(key, "ops", F.coalesce("literals", F.lit(b"")).alias("literals"))
 
 
 def materialise(ops: DataFrame, previous: DataFrame, literals: DataFrame, key: str) -> DataFrame:

@@ -6,110 +6,80 @@ requests and queue events. Times are relative to a fixed moment.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import scalars
 from siltstone.operators import chunking, client, codecs, delta, limits, store
+from siltstone.plans.base import AS_OF, BLOCK, CH, JOBS, ORACLE_SQL, QUERIES, VERSIONS, adler_sql, cdc_sql, chunks, dealt_docs, docs, jobs, query, table, versions
 
-AS_OF = "2024-01-31 00:00:00"
-BLOCK = 1024
-QUERIES, ORACLE_SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    t = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return t.withColumns({c: F.col(c).cast("timestamp") for c, kind in t.dtypes if kind == "timestamp_ntz"})
-
-
-def docs(spark, d) -> DataFrame:
-    """doc_id, file_id, content; over enough partitions for Python kernels, whatever the files' number."""
-    t = table(spark, d, "documents").select("doc_id", F.col("source").alias("file_id"), F.encode("text", "UTF-8").alias("content"))
-    n = spark.sparkContext.defaultParallelism
-    return t if t.rdd.getNumPartitions() >= n else t.repartition(n, "doc_id")
+# ---- chunks and hashes ---------------------------------------------------------------------------
 
 
-def versions(spark, d) -> DataFrame:
-    row = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, d, "documents").select(F.col("source").alias("file_id"), F.col("doc_id").alias("version_id"), row.cast("long").alias("version_no"), F.octet_length("text").cast("long").alias("size"))
+@query(f"""WITH {CH}, u AS (SELECT strong_hash, count(*) AS refs, min(length) AS size FROM ch GROUP BY 1)
+SELECT CAST(coalesce(sum(refs), 0) AS BIGINT) AS total_blocks, count(*) AS unique_blocks, CAST(coalesce(sum(refs * size), 0) AS BIGINT) AS logical_bytes, CAST(coalesce(sum(size), 0) AS BIGINT) AS unique_bytes FROM u""")
+def dedup_fixed(spark, d):
+    u = chunks(spark, d).groupBy("strong_hash").agg(F.count("*").alias("refs"), F.min("length").alias("size"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return u.agg(zero("refs").alias("total_blocks"), F.count("*").alias("unique_blocks"), zero(F.col("refs") * F.col("size")).alias("logical_bytes"), zero("size").alias("unique_bytes"))
 
 
-def chunks(spark, d, size=BLOCK) -> DataFrame:
-    return chunking.with_fixed(docs(spark, d), "content", size, "doc_id", "file_id").select("doc_id", "file_id", F.col("block_index").cast("long").alias("block_index"), "offset", "length", chunking.strong("block").alias("strong_hash"))
+_SIGNED = f"""{CH}, sg AS (SELECT doc_id, block_index, "offset", length, {adler_sql("b")} AS weak_hash, strong_hash FROM
+  (SELECT ch.*, substr(hex(text), 1 + block_index * 2048, 2048) AS b FROM ch JOIN documents USING (doc_id)))"""
 
 
-def jobs(spark, d) -> DataFrame:
-    e = table(spark, d, "events")
-    return e.select(
-        F.col("event_id").alias("job_id"), "user_id", (F.col("event_id") % 500).alias("file_id"), "event_type", F.col("ts").alias("started_at"),
-        F.floor(F.coalesce("value", F.lit(0.0)) * 100 + 0.5).cast("long").alias("bytes_transferred"), (F.col("event_id") % 1000 * 7).alias("bytes_saved"),
-    )
+def _signed(spark, d):
+    return _long(chunking.signatures(dealt_docs(spark, d), "content", "doc_id", mode="fixed", size=BLOCK), "block_index")
 
 
-_CH = """ch AS (SELECT doc_id, source AS file_id, CAST(i AS BIGINT) AS block_index, CAST(i * 1024 AS BIGINT) AS "offset",
-  CAST(least(1024, strlen(text) - i * 1024) AS BIGINT) AS length, sha256(unhex(substr(hex(text), 1 + i * 2048, 2048))) AS strong_hash
-  FROM (SELECT doc_id, source, text, unnest(range(0, (strlen(text) + 1023) // 1024)) AS i FROM documents WHERE strlen(text) > 0))"""
-_JOBS = """jobs AS (SELECT event_id AS job_id, user_id, event_id % 500 AS file_id, event_type, ts AS started_at,
-  CAST(floor(coalesce(value, 0) * 100 + 0.5) AS BIGINT) AS bytes_transferred, event_id % 1000 * 7 AS bytes_saved FROM events)"""
-_VERSIONS = """versions AS (SELECT source AS file_id, doc_id AS version_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS version_no,
-  CAST(strlen(text) AS BIGINT) AS size FROM documents)"""
+@query(f"WITH {_SIGNED} SELECT * FROM sg")
+def sig_fixed(spark, d):
+    return _signed(spark, d)
 
 
-# ---- chunks and hashes ---------------------------------------------------------------------------
+def _cdc(spark, d, profile):
+    return chunking.with_cdc(dealt_docs(spark, d), "content", profile, "doc_id")
 
 
-@query(f"""WITH {_CH}, u AS (SELECT strong_hash, count(*) AS refs, min(length) AS size FROM ch GROUP BY 1)
-SELECT CAST(coalesce(sum(refs), 0) AS BIGINT) AS total_blocks, count(*) AS unique_blocks, CAST(coalesce(sum(refs * size), 0) AS BIGINT) AS logical_bytes, CAST(coalesce(sum(size), 0) AS BIGINT) AS unique_bytes FROM u""")
-def dedup_fixed(spark, d):
-    u = chunks(spark, d).groupBy("strong_hash").agg(F.count("*").alias("refs"), F.min("length").alias("size"))
-    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    return u.agg(zero("refs").alias("total_blocks"), F.count("*").alias("unique_blocks"), zero(F.col("refs") * F.col("size")).alias("logical_bytes"), zero("size").alias("unique_bytes"))
+def _long(df, *cols):
+    return df.withColumns({c: F.col(c).cast("long") for c in cols})
 
 
-@query(f'WITH {_CH} SELECT doc_id, block_index, "offset", length, strong_hash FROM ch')
-def sig_fixed(spark, d):
-    return chunks(spark, d).drop("file_id")
+_HEX = "hx AS (SELECT doc_id, hex(text) AS h FROM documents)"
 
 
-def _cdc(spark, d, profile, longest=None):
-    t = docs(spark, d)
-    t = t if longest is None else t.where(F.octet_length("content") <= longest)
-    return chunking.with_cdc(t, "content", profile, "doc_id")
+def _cdc_signature_sql(profile) -> str:
+    return f"""WITH {_HEX}, {cdc_sql("c", "hx", profile)} SELECT doc_id, block_index, "offset", length, {adler_sql("block")} AS weak_hash, sha256(unhex(block)) AS strong_hash FROM c"""
 
 
-@query()
+@query(_cdc_signature_sql(chunking.web_profile()))
 def sig_cdc_web(spark, d):
-    c = _cdc(spark, d, chunking.web_profile())
-    return c.select("doc_id", "block_index", "offset", "length", chunking.adler32("block").alias("weak_hash"), chunking.strong("block").alias("strong_hash"))
+    return _cdc(spark, d, chunking.web_profile()).select("doc_id", "block_index", "offset", "length", chunking.adler32("block").alias("weak_hash"), chunking.strong("block").alias("strong_hash"))
 
 
-@query()
+@query(_cdc_signature_sql(chunking.server_profile(1024)))
 def sig_cdc_server(spark, d):
-    c = _cdc(spark, d, chunking.server_profile(1024))
-    return c.select("doc_id", "block_index", "offset", "length", chunking.adler32("block").alias("weak_hash"), chunking.strong("block").alias("strong_hash"))
+    return _cdc(spark, d, chunking.server_profile(1024)).select("doc_id", "block_index", "offset", "length", chunking.adler32("block").alias("weak_hash"), chunking.strong("block").alias("strong_hash"))
 
 
-@query()
+@query(f"""WITH {_HEX}, {cdc_sql("c", "hx", chunking.web_profile())}, u AS (SELECT sha256(unhex(block)) AS h, count(*) AS refs, min(length) AS size FROM c GROUP BY 1)
+SELECT CAST(coalesce(sum(refs), 0) AS BIGINT) AS total_blocks, count(*) AS unique_blocks, CAST(coalesce(sum(refs * size), 0) AS BIGINT) AS logical_bytes, CAST(coalesce(sum(size), 0) AS BIGINT) AS unique_bytes FROM u""")
 def dedup_cdc(spark, d):
     c = _cdc(spark, d, chunking.web_profile()).select(chunking.strong("block").alias("h"), "length").groupBy("h").agg(F.count("*").alias("refs"), F.first("length").alias("size"))
-    return c.agg(F.sum("refs").alias("total_blocks"), F.count("*").alias("unique_blocks"), F.sum(F.col("refs") * F.col("size")).alias("logical_bytes"), F.sum("size").alias("unique_bytes"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return c.agg(zero("refs").alias("total_blocks"), F.count("*").alias("unique_blocks"), zero(F.col("refs") * F.col("size")).alias("logical_bytes"), zero("size").alias("unique_bytes"))
 
 
-@query()  # a recursion over each byte: too slow in SQL on whole tables
+@query(f"""WITH {_HEX}, {cdc_sql("c", "hx", chunking.Profile(256, 256, 16384))} SELECT doc_id, CAST(block_index AS BIGINT) AS block_index, "offset", length FROM c""")
 def cdc_cuts(spark, d):
     return _cdc(spark, d, chunking.Profile(256, 256, 16384)).select("doc_id", F.col("block_index").cast("long").alias("block_index"), "offset", "length")
 
 
+@query(f"""WITH {_HEX}, {cdc_sql("c", "hx", chunking.server_profile(4096))}, n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY 1)
+SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS sha256, coalesce(n, 0) AS cdc_chunks, 4096 AS avg_target FROM documents LEFT JOIN n USING (doc_id)""")
+def scan_report(spark, d):
+    return chunking.scan_report(dealt_docs(spark, d), "content", chunking.server_profile(4096), "doc_id")
+
+
 @query("""SELECT doc_id, CAST(((strlen(text) + coalesce(list_sum([(strlen(text) - k) * CAST('0x' || substr(hex(text), 2 * k + 1, 2) AS BIGINT) FOR k IN range(0, strlen(text))]), 0)) % 65521) * 65536
   + (1 + coalesce(list_sum([CAST('0x' || substr(hex(text), 2 * k + 1, 2) AS BIGINT) FOR k IN range(0, strlen(text))]), 0)) % 65521 AS BIGINT) AS weak_hash FROM documents""")
 def adler_docs(spark, d):
@@ -134,7 +104,7 @@ def adaptive_size(spark, d):
     return table(spark, d, "documents").select("doc_id", chunking.adaptive_size(F.col("n_chars") * 1000).alias("size"))
 
 
-@query(f"WITH {_CH} SELECT length // 128 * 128 AS bucket, count(*) AS n, CAST(sum(length) AS BIGINT) AS bytes FROM ch GROUP BY 1")
+@query(f"WITH {CH} SELECT length // 128 * 128 AS bucket, count(*) AS n, CAST(sum(length) AS BIGINT) AS bytes FROM ch GROUP BY 1")
 def chunk_size_histogram(spark, d):
     return chunks(spark, d).groupBy((F.floor(F.col("length") / 128) * 128).alias("bucket")).agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
 
@@ -151,7 +121,7 @@ def hash_slices(spark, d):
 
 def pairs(spark, d) -> DataFrame:
     """Old and new content: a tail appended, a byte put in, or no change."""
-    t = docs(spark, d)
+    t = dealt_docs(spark, d)
     third = F.col("doc_id") % 3
     x = F.lit(b"X")
     half = F.floor(F.octet_length("content") / 2).cast("int")
@@ -174,19 +144,30 @@ def _block_ops(spark, d):
     return delta.chunk_ops(chunking.signatures(p, "new", "doc_id", mode="fixed", size=256), chunking.signatures(p, "old", "doc_id", mode="fixed", size=256), "doc_id")
 
 
-def _long(df, *cols):
-    return df.withColumns({c: F.col(c).cast("long") for c in cols})
-
-
 @query(f"WITH {_PAIRS} SELECT * FROM ops")
 def delta_block_ops(spark, d):
     return _long(_block_ops(spark, d), "op_index", "copy_block", "literal_offset", "length")
 
 
-@query()
+_CDC_PAIRS = f"""pr AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE old END AS old, new FROM pairs), po AS (SELECT doc_id, old AS h FROM pr), pn AS (SELECT doc_id, new AS h FROM pr),
+{cdc_sql("co", "po", chunking.web_profile(256))}, {cdc_sql("cn", "pn", chunking.web_profile(256))},
+fo AS (SELECT doc_id, sha256(unhex(block)) AS h, length, min(block_index) AS copy_block FROM co GROUP BY ALL),
+jn AS (SELECT doc_id, block_index, "offset", length, copy_block FROM (SELECT *, sha256(unhex(block)) AS h FROM cn) LEFT JOIN fo USING (doc_id, h, length) WHERE doc_id IN (SELECT doc_id FROM co)),
+cdc_ops AS (SELECT doc_id, block_index AS op_index, CASE WHEN copy_block IS NULL THEN 'literal' ELSE 'copy' END AS kind, copy_block, CASE WHEN copy_block IS NULL THEN
+  CAST(coalesce(sum(CASE WHEN copy_block IS NULL THEN length ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) END AS literal_offset, "offset" AS new_offset, length FROM jn
+UNION ALL SELECT doc_id, 0, 'literal', NULL, 0, 0, CAST(length(new) // 2 AS BIGINT) FROM pr WHERE doc_id NOT IN (SELECT doc_id FROM co))"""
+
+
+def _cdc_pairs(spark, d):
+    """``pairs``, a tenth of which have no old version."""
+    return pairs(spark, d).withColumn("old", F.when(F.col("doc_id") % 10 == 0, F.lit(b"")).otherwise(F.col("old")))
+
+
+@query(f"WITH {_PAIRS.split('o AS (SELECT')[0].rstrip().rstrip(',')}, {_CDC_PAIRS} SELECT * FROM cdc_ops")
 def delta_cdc_ops(spark, d):
-    p, w = pairs(spark, d), {"mode": "cdc", "size": 256, "profile": "web"}
-    return delta.chunk_ops(chunking.signatures(p, "new", "doc_id", **w), chunking.signatures(p, "old", "doc_id", **w), "doc_id")
+    p, w = _cdc_pairs(spark, d), {"mode": "cdc", "size": 256, "profile": "web"}
+    sizes = p.select("doc_id", F.octet_length("new").alias("size"))
+    return delta.chunk_ops(chunking.signatures(p, "new", "doc_id", **w), chunking.signatures(p, "old", "doc_id", **w), "doc_id", sizes)
 
 
 _STATS = """st AS (SELECT doc_id, CAST(sum(length) AS BIGINT) AS total_new_bytes, CAST(sum(CASE WHEN kind = 'copy' THEN length ELSE 0 END) AS BIGINT) AS copied_bytes,
@@ -210,11 +191,30 @@ def heatmap_cells(spark, d):
     return _block_ops(spark, d).select("doc_id", F.col("op_index").cast("long").alias("op_index"), delta.heat_cells(F.col("length"), F.lit(256)).alias("cells"))
 
 
-@query()
+_FIXED = f"""{_PAIRS.split('o AS (SELECT')[0].rstrip().rstrip(',')},
+ob AS (SELECT doc_id, md5(substr(old, 1 + i * 512, 512)) AS m, min(i) AS b FROM (SELECT doc_id, old, unnest(range(0, length(old) // 512)) AS i FROM pairs) GROUP BY 1, 2),
+nw AS (SELECT doc_id, i, md5(substr(new, 1 + 2 * i, 512)) AS m FROM (SELECT doc_id, new, unnest(range(0, length(new) // 2 - 255)) AS i FROM pairs)),
+ht AS (SELECT doc_id, list({{'pos': CAST(i AS BIGINT), 'b': CAST(b AS BIGINT), 'p': CAST([] AS STRUCT(pos BIGINT, b BIGINT)[])}} ORDER BY i) AS l FROM nw JOIN ob USING (doc_id, m) GROUP BY 1),
+pk AS (SELECT doc_id, list_reduce(l, lambda a, x: CASE WHEN x.pos >= a.pos THEN {{'pos': x.pos + 256, 'b': x.b, 'p': list_append(a.p, {{'pos': x.pos, 'b': x.b}})}} ELSE a END,
+  {{'pos': CAST(0 AS BIGINT), 'b': CAST(0 AS BIGINT), 'p': CAST([] AS STRUCT(pos BIGINT, b BIGINT)[])}}).p AS p FROM ht),
+pc AS (SELECT doc_id, CAST(length(new) // 2 AS BIGINT) AS n, coalesce(p, []) AS p FROM pairs LEFT JOIN pk USING (doc_id)),
+cp AS (SELECT doc_id, n, e.pos AS pos, e.b AS b, coalesce(lag(e.pos) OVER (PARTITION BY doc_id ORDER BY e.pos) + 256, 0) AS before FROM (SELECT doc_id, n, unnest(p) AS e FROM pc)),
+al AS (SELECT doc_id, 'copy' AS kind, CAST(b AS INTEGER) AS copy_block, pos AS new_offset, CAST(256 AS BIGINT) AS length FROM cp
+  UNION ALL SELECT doc_id, 'literal', NULL, before, pos - before FROM cp WHERE pos > before
+  UNION ALL SELECT doc_id, 'literal', NULL, pos, n - pos FROM (SELECT doc_id, n, coalesce(p[-1].pos + 256, 0) AS pos FROM pc) WHERE pos < n OR n = 0),
+fixed_ops AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY new_offset) - 1 AS INTEGER) AS op_index, kind, copy_block, new_offset, length FROM al)"""
+
+
+@query(f"WITH {_FIXED} SELECT * FROM fixed_ops")
 def delta_fixed_ops(spark, d):
     return delta.fixed_ops(pairs(spark, d), "doc_id", "new", "old", 256)
 
 
+@query(f"""WITH {_FIXED} SELECT doc_id, CAST(coalesce(sum(length) FILTER (kind = 'literal'), 0) AS BIGINT) AS bytes_transferred FROM fixed_ops GROUP BY 1""")
+def legacy_accounting(spark, d):
+    return store.legacy_accounting(delta_fixed_ops(spark, d), "doc_id")
+
+
 @query(f"WITH {_PAIRS} SELECT doc_id, CAST(length(new) // 2 AS BIGINT) AS size, sha256(unhex(new)) AS content_sha256 FROM pairs WHERE new <> ''")
 def patch_verify(spark, d):
     p = pairs(spark, d)
@@ -226,18 +226,19 @@ def patch_verify(spark, d):
 # ---- manifests and codecs ----------------------------------------------------------------------------
 
 
-@query(f"""WITH {_CH} SELECT doc_id, block_index, CAST(coalesce(sum(length) OVER (PARTITION BY doc_id ORDER BY block_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", length, strong_hash FROM ch""")
+@query(f"""WITH {_SIGNED} SELECT doc_id, block_index, CAST(coalesce(sum(length) OVER (PARTITION BY doc_id ORDER BY block_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", length,
+  CASE WHEN doc_id % 2 = 0 THEN weak_hash ELSE 0 END AS weak_hash, strong_hash,
+  CASE WHEN doc_id % 5 = 0 THEN 'Reconstructed size ' || sum(length) OVER (PARTITION BY doc_id) || ' does not match newSize ' || (strlen(text) + 1) END AS error FROM sg JOIN documents USING (doc_id)""")
 def manifest_rows(spark, d):
-    return chunks(spark, d).drop("offset", "file_id").withColumn("offset", delta.running_offset("doc_id"))
+    c = _signed(spark, d).drop("offset").withColumn("weak_hash", F.when(F.col("doc_id") % 2 == 0, F.col("weak_hash")))
+    size = F.octet_length("text").cast("long") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)
+    out = store.chunk_manifest(c, table(spark, d, "documents").select("doc_id", size.alias("new_size")), "doc_id")
+    return out.select("doc_id", "block_index", "offset", "length", "weak_hash", "strong_hash", "error")
 
 
-def _signed(spark, d):
-    return chunking.signatures(docs(spark, d), "content", "doc_id", mode="fixed", size=BLOCK)
-
-
-@query(f'WITH {_CH} SELECT doc_id, block_index, "offset", length, strong_hash FROM ch')
+@query(f"WITH {_SIGNED} SELECT * FROM sg")
 def manifest_roundtrip(spark, d):
-    return _long(codecs.chunks_of(codecs.manifest_of(_signed(spark, d), "doc_id"), "doc_id").drop("weak_hash"), "block_index")
+    return _long(codecs.chunks_of(codecs.manifest_of(_signed(spark, d), "doc_id"), "doc_id"), "block_index")
 
 
 @query(f"WITH {_PAIRS} SELECT doc_id, kind, copy_block AS block_index, literal_offset, CASE WHEN kind = 'literal' THEN length END AS literal_length, CAST(v AS INTEGER) AS version FROM ops, (SELECT unnest([1, 2]) AS v)")
@@ -245,18 +246,45 @@ def ops_roundtrip(spark, d):
     o = _block_ops(spark, d)
     row = F.struct("op_index", "kind", F.col("copy_block").cast("long").alias("block_index"), "literal_offset", F.when(F.col("kind") == "literal", F.col("length")).alias("literal_length"))
     o = o.groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("o"))
-    o = o.select("doc_id", F.explode(F.array(F.struct(F.lit(1).alias("version"), codecs.encode_ops1("o").alias("b")), F.struct(F.lit(2).alias("version"), codecs.encode_ops2("o").alias("b")))).alias("e"))
+    two = codecs.encode_ops2("o", F.lit(256), F.lit(None).cast("string"), F.lit(0))
+    o = o.select("doc_id", F.explode(F.array(F.struct(F.lit(1).alias("version"), codecs.encode_ops1("o").alias("b")), F.struct(F.lit(2).alias("version"), two.alias("b")))).alias("e"))
     return o.select("doc_id", "e.version", F.explode(codecs.decode_ops("e.b")).alias("x")).select("doc_id", "x.*", "version")
 
 
-@query(f"""WITH {_CH} SELECT file_id, strong_hash, first_index, CAST((row_number() OVER (PARTITION BY file_id ORDER BY first_index) - 1) // 25 AS BIGINT) AS page FROM (
+@query(f"""WITH {_PAIRS} SELECT doc_id, 256 + doc_id AS block_size, sha256(unhex(new)) AS content_sha256, CAST(length(new) // 2 AS BIGINT) AS new_size, count(*) AS n_ops, CAST(sum(length) FILTER (kind = 'literal') AS BIGINT) AS literal_bytes
+FROM ops JOIN pairs USING (doc_id) GROUP BY doc_id, new""")
+def ops_header(spark, d):
+    o = _block_ops(spark, d)
+    row = F.struct("op_index", "kind", F.col("copy_block").cast("long").alias("block_index"), "literal_offset", F.when(F.col("kind") == "literal", F.col("length")).alias("literal_length"))
+    o = o.groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("o"), F.sum("length").alias("size"))
+    h = pairs(spark, d).select("doc_id", F.sha2("new", 256).alias("h"))
+    x = codecs.decode_ops2(codecs.encode_ops2("o", F.col("doc_id") + 256, "h", "size"))
+    x = o.join(h, "doc_id").select("doc_id", x.alias("x")).select("doc_id", "x.*")
+    literals = F.aggregate(F.filter("ops", lambda v: v["kind"] == "literal"), F.lit(None).cast("long"), lambda a, v: F.coalesce(a, F.lit(0).cast("long")) + v["literal_length"])
+    return x.select("doc_id", "block_size", "content_sha256", "new_size", F.size("ops").cast("long").alias("n_ops"), literals.alias("literal_bytes"))
+
+
+@query(f"""WITH {_PAIRS.split('o AS (SELECT')[0].rstrip().rstrip(',')}, pr AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE old END AS old, new FROM pairs), po AS (SELECT doc_id, old AS h FROM pr), pn AS (SELECT doc_id, new AS h FROM pr),
+{cdc_sql("co", "po", chunking.server_profile(1024))}, {cdc_sql("cn", "pn", chunking.server_profile(1024))},
+fo AS (SELECT doc_id, sha256(unhex(block)) AS h, length, min(block_index) AS copy_block FROM co GROUP BY ALL),
+jn AS (SELECT doc_id, length, copy_block FROM (SELECT *, sha256(unhex(block)) AS h FROM cn) LEFT JOIN fo USING (doc_id, h, length) WHERE doc_id IN (SELECT doc_id FROM co)),
+al AS (SELECT doc_id, copy_block IS NULL AS lit, length FROM jn UNION ALL SELECT doc_id, true, length(new) // 2 FROM pr WHERE doc_id NOT IN (SELECT doc_id FROM co))
+SELECT doc_id, 8 + CAST(sum(CASE WHEN lit THEN 9 ELSE 5 END) AS BIGINT) AS ops_bytes, CAST(coalesce(sum(length) FILTER (lit), 0) AS BIGINT) AS literal_bytes FROM al GROUP BY 1""")
+def pack_delta(spark, d):
+    p = _cdc_pairs(spark, d)
+    sig = chunking.signatures(p, "old", "doc_id", size=1024)
+    out = delta.pack_delta(p.select("doc_id", "new"), sig, "doc_id", "new", 1024)
+    return out.select("doc_id", F.octet_length("ops").cast("long").alias("ops_bytes"), F.octet_length("literals").cast("long").alias("literal_bytes"))
+
+
+@query(f"""WITH {CH} SELECT file_id, strong_hash, first_index, CAST((row_number() OVER (PARTITION BY file_id ORDER BY first_index) - 1) // 25 AS BIGINT) AS page FROM (
   SELECT file_id, strong_hash, min(doc_id * 1000 + block_index) AS first_index FROM ch GROUP BY 1, 2)""")
 def hash_pages(spark, d):
     c = chunks(spark, d).withColumn("block_index", F.col("doc_id") * 1000 + F.col("block_index"))
     return store.hash_pages(c, "file_id", 25)
 
 
-@query(f"""WITH {_CH}, {_VERSIONS}, v AS (SELECT ch.*, version_no FROM ch JOIN versions ON doc_id = version_id),
+@query(f"""WITH {CH}, {VERSIONS}, v AS (SELECT ch.*, version_no FROM ch JOIN versions ON doc_id = version_id),
 n AS (SELECT file_id, version_no, lag(version_no) OVER (PARTITION BY file_id ORDER BY version_no) AS older FROM (SELECT DISTINCT file_id, version_no FROM v))
 SELECT v.file_id, v.version_no, v.block_index, v.strong_hash, EXISTS (SELECT 1 FROM v o WHERE o.file_id = v.file_id AND o.version_no = n.older AND o.strong_hash = v.strong_hash) AS reused
 FROM v JOIN n USING (file_id, version_no)""")
@@ -274,7 +302,7 @@ def _halves(spark, d):
     return c.where("doc_id % 2 = 0"), c.where("doc_id % 2 = 1")
 
 
-_HALVES = _CH + ", old AS (SELECT * FROM ch WHERE doc_id % 2 = 0), new AS (SELECT * FROM ch WHERE doc_id % 2 = 1), miss AS (SELECT strong_hash, min(block_index) AS block_index FROM new WHERE strong_hash NOT IN (SELECT strong_hash FROM old) GROUP BY 1)"
+_HALVES = CH + ", old AS (SELECT * FROM ch WHERE doc_id % 2 = 0), new AS (SELECT * FROM ch WHERE doc_id % 2 = 1), miss AS (SELECT strong_hash, min(block_index) AS block_index FROM new WHERE strong_hash NOT IN (SELECT strong_hash FROM old) GROUP BY 1)"
 
 
 @query(f"WITH {_HALVES} SELECT * FROM miss")
@@ -283,6 +311,13 @@ def negotiate_missing(spark, d):
     return store.missing_chunks(new, old)
 
 
+@query(f"""WITH {_HALVES}, prev AS (SELECT strong_hash FROM ch WHERE doc_id % 8 = 0), idx AS (SELECT strong_hash FROM ch WHERE doc_id % 8 = 2), obj AS (SELECT strong_hash FROM ch WHERE doc_id % 8 = 4)
+SELECT strong_hash, min(block_index) AS block_index FROM new WHERE strong_hash NOT IN (SELECT * FROM prev UNION ALL SELECT * FROM idx UNION ALL SELECT * FROM obj) GROUP BY 1""")
+def negotiate_three_sources(spark, d):
+    c = chunks(spark, d)
+    return store.missing_chunks(_halves(spark, d)[1], *(c.where(F.col("doc_id") % 8 == k) for k in (0, 2, 4)))
+
+
 @query(f"WITH {_HALVES} SELECT (SELECT count(*) FROM new) AS total_chunks, (SELECT count(*) FROM miss) AS missing_chunks, (SELECT count(*) FROM new) - (SELECT count(*) FROM miss) AS existing_chunks")
 def negotiate_counts(spark, d):
     old, new = _halves(spark, d)
@@ -302,39 +337,48 @@ def commit_accounting(spark, d):
     return store.commit_accounting(new, store.missing_chunks(new, old), "doc_id")
 
 
-@query(f"WITH {_VERSIONS} SELECT file_id, max(version_no) + 1 AS next_version FROM versions GROUP BY 1")
+@query(f"WITH {VERSIONS} SELECT file_id, max(version_no) + 1 AS next_version FROM versions GROUP BY 1")
 def next_version(spark, d):
     v = versions(spark, d)
     return store.next_version(v.select("file_id").distinct(), v)
 
 
-_CAS = _CH + ", cas AS (SELECT strong_hash, count(*) AS ref_count, arg_min(length, (doc_id, block_index)) AS byte_size, max(doc_id) AS last_doc FROM ch GROUP BY 1)"
+_CAS = CH + ", cas AS (SELECT strong_hash, count(*) AS ref_count, arg_min(length, (doc_id, block_index)) AS byte_size, max(doc_id) AS last_doc FROM ch GROUP BY 1)"
 
 
 def _cas(spark, d):
     return store.reference_counts(chunks(spark, d).withColumn("version", F.col("doc_id")).withColumn("created_at", F.col("doc_id")))
 
 
-@query(f"WITH {_CAS} SELECT strong_hash, ref_count, byte_size FROM cas")
+@query(f"WITH {_CAS} SELECT strong_hash, ref_count, byte_size, last_doc AS last_referenced_at FROM cas")
 def cas_refcounts(spark, d):
-    return _cas(spark, d).drop("last_referenced_at")
+    return _cas(spark, d)
 
 
-@query(f"WITH {_CAS} SELECT strong_hash, greatest(0, ref_count - (SELECT count(*) FROM ch WHERE ch.strong_hash = cas.strong_hash AND doc_id % 2 = 0)) AS ref_count FROM cas")
+@query(f"""WITH {_CAS} SELECT strong_hash, greatest(0, ref_count - (SELECT count(*) FROM ch WHERE ch.strong_hash = cas.strong_hash AND doc_id % 2 = 0)) AS ref_count,
+  CASE WHEN strong_hash IN (SELECT strong_hash FROM ch WHERE doc_id % 2 = 0) THEN -1 ELSE last_doc END AS last_referenced_at FROM cas""")
 def cas_after_deref(spark, d):
-    return store.dereference(_cas(spark, d), _halves(spark, d)[0]).select("strong_hash", "ref_count")
+    return store.dereference(_cas(spark, d), _halves(spark, d)[0], F.lit(-1).cast("long")).select("strong_hash", "ref_count", "last_referenced_at")
 
 
-@query(f"""WITH {_CAS}, l AS (SELECT strong_hash, TIMESTAMP '2024-01-30 00:00:00' + to_minutes(CAST(last_doc AS INTEGER) % 2880) AS last_referenced_at FROM cas
-  WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.strong_hash = cas.strong_hash AND doc_id % 2 = 1))
+@query(f"""WITH {_CAS}, l AS (SELECT strong_hash, max(TIMESTAMP '2024-01-30 00:00:00' + to_minutes(CAST(doc_id AS INTEGER) % 2880)) AS last_referenced_at FROM ch WHERE doc_id % 2 = 0 AND strong_hash NOT IN (SELECT strong_hash FROM ch WHERE doc_id % 2 = 1) GROUP BY 1)
 SELECT strong_hash FROM l WHERE last_referenced_at <= TIMESTAMP '{AS_OF}' - INTERVAL 20 HOUR ORDER BY last_referenced_at, strong_hash LIMIT 1000""")
 def cas_sweep(spark, d):
-    c = store.dereference(_cas(spark, d), _halves(spark, d)[0])
-    at = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-30 00:00:00").cast("timestamp")) + F.col("last_referenced_at") % 2880 * 60)
-    return store.sweepable(c.withColumn("last_referenced_at", at), F.lit(AS_OF).cast("timestamp"), 20 * 3_600_000).select("strong_hash")
+    return store.sweepable(_dropped(spark, d), F.lit(AS_OF).cast("timestamp"), 20 * 3_600_000).select("strong_hash")
+
+
+def _at(c):
+    return F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-30 00:00:00").cast("timestamp")) + F.col(c) % 2880 * 60)
 
 
-@query(f"""WITH {_VERSIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY version_no DESC) AS r FROM versions) SELECT file_id, version_id, version_no FROM r WHERE r > 10 AND version_no <> 1""")
+def _dropped(spark, d):
+    """The index after the even documents went, each at its own time."""
+    c, even = _cas(spark, d).withColumn("last_referenced_at", _at("last_referenced_at")), _halves(spark, d)[0]
+    when = even.groupBy("strong_hash").agg(F.max(_at("doc_id")).alias("gone_at"))
+    return store.dereference(c.join(when, "strong_hash", "left"), even, F.col("gone_at")).drop("gone_at")
+
+
+@query(f"""WITH {VERSIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY version_no DESC) AS r FROM versions) SELECT file_id, version_id, version_no FROM r WHERE r > 10 AND version_no <> 1""")
 def retention_delete(spark, d):
     v = versions(spark, d)
     return store.prunable(v, v.where("version_no = 1").select("file_id", F.col("version_id").alias("current_version_id"))).select("file_id", "version_id", "version_no")
@@ -349,14 +393,21 @@ def gc_orphans(spark, d):
     return store.orphans(keys, store.reference_set(old))
 
 
-@query(f"""WITH {_HALVES}, m AS (SELECT DISTINCT doc_id, strong_hash FROM ch WHERE strong_hash NOT IN (SELECT strong_hash FROM old)), g AS (SELECT doc_id, count(*) AS n FROM m GROUP BY 1)
-SELECT doc_id AS version_id, CASE WHEN n > 0 THEN 'corrupted' ELSE 'verified' END AS status, coalesce(n, 0) AS n_missing FROM documents LEFT JOIN g USING (doc_id)""")
-def verify_versions(spark, d):
+_VERIFIED = f"""{_HALVES}, m AS (SELECT DISTINCT doc_id, strong_hash FROM ch WHERE strong_hash NOT IN (SELECT strong_hash FROM old)), g AS (SELECT doc_id, count(*) AS n, array_to_string(list(strong_hash ORDER BY strong_hash)[1:100], ',') AS missing FROM m GROUP BY 1),
+vf AS (SELECT doc_id AS version_id, CASE WHEN n > 0 THEN 'corrupted' ELSE 'verified' END AS status, coalesce(n, 0) AS n_missing, coalesce(missing, '') AS missing FROM documents LEFT JOIN g USING (doc_id))"""
+
+
+def _verified(spark, d):
     v = table(spark, d, "documents").select(F.col("doc_id").alias("version_id"))
-    return store.verification(v, chunks(spark, d).withColumnRenamed("doc_id", "version_id"), _halves(spark, d)[0]).drop("missing")
+    return store.verification(v, chunks(spark, d).withColumnRenamed("doc_id", "version_id"), _halves(spark, d)[0])
+
+
+@query(f"WITH {_VERIFIED} SELECT * FROM vf")
+def verify_versions(spark, d):
+    return _verified(spark, d).withColumn("missing", F.coalesce(F.array_join("missing", ","), F.lit("")))
 
 
-@query(f"WITH {_VERSIONS} SELECT * FROM versions QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY version_no DESC) = 1")
+@query(f"WITH {VERSIONS} SELECT * FROM versions QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY version_no DESC) = 1")
 def latest_version(spark, d):
     return store.latest_version(versions(spark, d))
 
@@ -377,7 +428,7 @@ def reconstruct_sha(spark, d):
 # ---- client state, dashboards -------------------------------------------------------------------------
 
 
-@query(f"""WITH {_JOBS}, files AS (SELECT doc_id AS file_id, CAST(doc_id % 7 AS BIGINT) AS user_id FROM documents)
+@query(f"""WITH {JOBS}, files AS (SELECT doc_id AS file_id, CAST(doc_id % 7 AS BIGINT) AS user_id FROM documents)
 SELECT files.user_id, CAST(coalesce(sum(bytes_transferred), 0) AS BIGINT) AS bytes_transferred, CAST(coalesce(sum(bytes_saved), 0) AS BIGINT) AS bytes_saved, count(files.file_id) AS total_files_joined, count(DISTINCT files.file_id) AS total_files
 FROM files LEFT JOIN jobs USING (file_id) GROUP BY 1""")
 def dashboard_totals(spark, d):
@@ -385,7 +436,7 @@ def dashboard_totals(spark, d):
     return client.totals(f, jobs(spark, d).drop("user_id"))
 
 
-@query(f"WITH {_JOBS} SELECT CAST(date_trunc('day', started_at) AS DATE) AS day, CAST(sum(bytes_transferred) AS BIGINT) AS bytes_transferred, CAST(sum(bytes_saved) AS BIGINT) AS bytes_saved FROM jobs GROUP BY 1")
+@query(f"WITH {JOBS} SELECT CAST(date_trunc('day', started_at) AS DATE) AS day, CAST(sum(bytes_transferred) AS BIGINT) AS bytes_transferred, CAST(sum(bytes_saved) AS BIGINT) AS bytes_saved FROM jobs GROUP BY 1")
 def daily_series(spark, d):
     return client.daily(jobs(spark, d))
 
@@ -395,26 +446,26 @@ def active_24h(spark, d):
     return table(spark, d, "events").where(F.col("ts") >= F.expr(f"timestamp '{AS_OF}' - interval 24 hours")).agg(F.count("*").alias("active"))
 
 
-@query(f"""WITH {_JOBS}, t AS (SELECT user_id, CAST(sum(bytes_saved) AS DOUBLE) AS s, CAST(sum(bytes_transferred) AS DOUBLE) AS t FROM jobs GROUP BY 1)
+@query(f"""WITH {JOBS}, t AS (SELECT user_id, CAST(sum(bytes_saved) AS DOUBLE) AS s, CAST(sum(bytes_transferred) AS DOUBLE) AS t FROM jobs GROUP BY 1)
 SELECT user_id, CAST(CASE WHEN s + t > 0 THEN floor(s / (s + t) * 100 + 0.5) ELSE 0 END AS BIGINT) AS ratio FROM t""")
 def transfer_ratio(spark, d):
     t = jobs(spark, d).groupBy("user_id").agg(F.sum("bytes_saved").cast("double").alias("s"), F.sum("bytes_transferred").cast("double").alias("t"))
     return t.select("user_id", client.transfer_ratio(F.col("s"), F.col("t")).alias("ratio"))
 
 
-@query(f"WITH {_JOBS} SELECT job_id, user_id, bytes_transferred FROM jobs ORDER BY started_at DESC, job_id LIMIT 10")
+@query(f"WITH {JOBS} SELECT job_id, user_id, bytes_transferred FROM jobs ORDER BY started_at DESC, job_id LIMIT 10")
 def recent_jobs(spark, d):
     return client.page(jobs(spark, d), 1, 10, "started_at", "job_id").select("job_id", "user_id", "bytes_transferred")
 
 
-@query(f"WITH {_JOBS} SELECT job_id, user_id FROM jobs WHERE event_type = 'click' ORDER BY started_at DESC, job_id LIMIT 20 OFFSET 40")
+@query(f"WITH {JOBS} SELECT job_id, user_id FROM jobs WHERE event_type = 'click' ORDER BY started_at DESC, job_id LIMIT 20 OFFSET 40")
 def jobs_page(spark, d):
     return client.page(jobs(spark, d).where("event_type = 'click'"), 3, 20, "started_at", "job_id").select("job_id", "user_id")
 
 
-@query("SELECT page_id, url FROM pages WHERE contains(lower(url), 'a1')")
+@query("SELECT page_id, url FROM pages WHERE contains(lower(url), '1')")
 def files_search(spark, d):
-    return table(spark, d, "pages").where(F.lower("url").contains("a1")).select("page_id", "url")
+    return table(spark, d, "pages").where(F.lower("url").contains("1")).select("page_id", "url")
 
 
 _TRIPLES = """tr AS (SELECT doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 5 END AS l, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE doc_id % 4 END AS b, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id % 3 END AS s, doc_id % 13 = 0 AS push, doc_id % 17 = 0 AS pull FROM documents),
@@ -484,12 +535,23 @@ def byte_quota(spark, d):
     return limits.fold(_requests(spark, d), "user_id", ["at", "event_id"], "at", "n", lambda: limits.Bytes(120, _DAY), "allowed", "boolean").select("event_id", "allowed")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS t, event_id % 100 AS n, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
+s AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS last, CAST(120 AS DOUBLE) AS tokens, CAST(NULL AS BIGINT) AS departure FROM r WHERE k = 1
+  UNION ALL
+  SELECT user_id, k, event_id, CASE WHEN n <= 0 OR n > 120 THEN last ELSE come + wait END, CASE WHEN n <= 0 OR n > 120 THEN tokens ELSE least(120, have + wait * 60 / 1000) - n END, CASE WHEN n <= 0 THEN t WHEN n > 120 THEN NULL ELSE come + wait END
+  FROM (SELECT *, CASE WHEN have < n THEN CAST(ceil((n - have) * 1000 / 60) AS BIGINT) ELSE 0 END AS wait FROM (
+    SELECT r.user_id, r.k, r.event_id, r.n, r.t, s.last, s.tokens, greatest(r.t, coalesce(s.last, r.t)) AS come, least(120, s.tokens + (greatest(r.t, coalesce(s.last, r.t)) - coalesce(s.last, r.t)) * 60 / 1000) AS have FROM s JOIN r ON r.user_id = s.user_id AND r.k = s.k + 1)))
+SELECT event_id, departure AS departure_ms FROM s WHERE k > 0""")
 def token_bucket(spark, d):
     return limits.fold(_requests(spark, d), "user_id", ["at", "event_id"], "at", "n", lambda: limits.TokenBucket(60), "departure_ms", "long").select("event_id", "departure_ms")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT event_id, user_id, event_id * 37 % 500 AS latency, event_id % 19 = 0 AS refused, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
+s AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, CAST(6 AS BIGINT) AS level, CAST(0 AS BIGINT) AS streak FROM r WHERE k = 1
+  UNION ALL
+  SELECT r.user_id, r.k, r.event_id, CASE WHEN refused THEN greatest(1, level - 1) WHEN latency < 400 AND streak >= 4 THEN least(6, level + 1) ELSE level END, CASE WHEN refused OR latency >= 400 OR streak >= 4 THEN 0 ELSE streak + 1 END
+  FROM s JOIN r ON r.user_id = s.user_id AND r.k = s.k + 1)
+SELECT event_id, level FROM s WHERE k > 0""")
 def upload_concurrency(spark, d):
     r = _requests(spark, d).withColumn("latency", F.col("event_id") * 37 % 500).withColumn("n", F.when(F.col("event_id") % 19 == 0, 503).otherwise(200).cast("long"))
     return limits.fold(r, "user_id", ["at", "event_id"], "latency", "n", lambda: limits.Concurrency(6), "level", "long").select("event_id", "level")
@@ -550,7 +612,21 @@ def path_valid(spark, d):
     return table(spark, d, "pages").select("page_id", scalars.path_is_valid(p).alias("valid"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN md5(props) END AS trace_id FROM events""")
+def _headers():
+    return F.concat(F.when(F.col("event_id") % 3 == 1, "01-").otherwise(" 00-"), F.md5("props"), F.when(F.col("event_id") % 3 == 2, "-0123-01").otherwise("-0123456789abcdef-00"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN md5(props) END AS trace_id, CASE WHEN event_id % 3 = 0 THEN '0123456789abcdef' END AS span_id, CASE WHEN event_id % 3 = 0 THEN '00' END AS flags,
+  CASE WHEN event_id % 3 = 0 THEN '00-' || md5(props) || '-0123456789abcdef-00' END AS formatted FROM events""")
 def traceparent(spark, d):
-    h = F.concat(F.when(F.col("event_id") % 3 == 1, "01-").otherwise("00-"), F.md5("props"), F.when(F.col("event_id") % 3 == 2, "-0123-01").otherwise("-0123456789abcdef-01"))
-    return table(spark, d, "events").select("event_id", scalars.trace_parent(h)["trace_id"].alias("trace_id"))
+    t = scalars.trace_parent(_headers())
+    return table(spark, d, "events").select("event_id", t["trace_id"].alias("trace_id"), t["span_id"].alias("span_id"), t["flags"].alias("flags"), scalars.format_trace(t).alias("formatted"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '00-' || md5(props) || '-0123456789abcdef-00' ELSE '00-' || substr(sha256('e' || event_id), 1, 32) || '-' || substr(sha256('e' || event_id), 33, 16) || '-01' END AS context FROM events""")
+def trace_context(spark, d):
+    fresh = F.concat(F.lit("e"), F.col("event_id").cast("string"))
+    return table(spark, d, "events").select("event_id", scalars.format_trace(scalars.trace_context(_headers(), fresh)).alias("context"))
+
+
+from siltstone.plans import state  # noqa: E402, F401  registers its queries

@@ -13,11 +13,11 @@ from siltstone.operators.codecs import FrameParser
 
 
 class _Limiter(StatefulProcessor):
-    def __init__(self, step: Callable):
-        self.step = step
+    def __init__(self, step: Callable, ttl_ms: int | None):
+        self.step, self.ttl_ms = step, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "expires long, used long")
+        self.state = handle.getValueState("window", "expires long, used long", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         state = tuple(self.state.get()) if self.state.exists() else None
@@ -34,9 +34,13 @@ class _Limiter(StatefulProcessor):
         pass
 
 
-def limit_stream(requests: DataFrame, limit) -> DataFrame:
-    """``requests(user_id, request_id, at_ms, bytes)`` -> user_id, request_id, allowed, by a limit of ``limits``."""
-    return requests.groupBy("user_id").transformWithStateInPandas(_Limiter(limit.step), "user_id long, request_id long, allowed boolean", "append", "None")
+def limit_stream(requests: DataFrame, limit, ttl_ms: int | None = None) -> DataFrame:
+    """``requests(user_id, request_id, at_ms, bytes)`` -> user_id, request_id, allowed, by a limit of ``limits``.
+
+    ``ttl_ms``: state of users that are idle for so long goes; it should exceed the limit's window.
+    """
+    kind = "user_id long, request_id long, allowed boolean"
+    return requests.groupBy("user_id").transformWithStateInPandas(_Limiter(limit.step, ttl_ms), kind, "append", "None" if ttl_ms is None else "ProcessingTime")
 
 
 class _Frames(StatefulProcessor):
