@@ -44,36 +44,54 @@ def chunk_ops(new: DataFrame, old: DataFrame, key: str, files: DataFrame | None
     return ops.union(bare.select(key, F.lit(0), F.lit("literal"), F.lit(None).cast("int"), zero, zero, "size"))
 
 
+_STEP = 1 << 18  # places looked at in one go
+
+
+def _weak_sums(data: np.ndarray, size: int) -> np.ndarray:
+    """Adler-32 of all windows, by prefix sums."""
+    x = data.astype(np.int64)
+    s, w = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * np.arange(len(x)))])
+    i = np.arange(len(x) - size + 1)
+    total = s[i + size] - s[i]
+    return (size + (i + size) * total - (w[i + size] - w[i])) % 65521 * 65536 + (1 + total) % 65521
+
+
 def fixed_delta(new: bytes, old: bytes, size: int, web: bool = False) -> list[tuple[str, int | None, int, int]]:
     """Greedy leftmost match of fixed blocks: (kind, block, new offset, length); literals between are joined.
 
-    Weak sums of all windows come from prefix sums; strong hashes are made on weak hits only. The web form has whole
-    blocks as candidates only and gives no op for an empty file.
+    Where a block matches, the next one is tried right behind it. Where none does, weak sums of the windows that follow
+    are made in stretches that grow, and strong hashes on weak hits only. The web form has whole blocks as candidates
+    only and gives no op for an empty file.
     """
     blocks: dict[int, dict[bytes, int]] = {}
     for i in range(0, len(old), size):
         b = old[i : i + size]
-        if len(b) == size or not web:
+        if len(b) == size:  # a shorter last block equals no window
             blocks.setdefault(zlib.adler32(b), {}).setdefault(sha256(b).digest(), i // size)
-    ops, start, at, n = [], 0, 0, len(new)
-    if n >= size and blocks:
-        x = np.frombuffer(new, np.uint8).astype(np.int64)
-        s, w = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * np.arange(n))])
-        i = np.arange(n - size + 1)
-        total = s[i + size] - s[i]
-        a = (1 + total) % 65521
-        b = (size + (i + size) * total - (w[i + size] - w[i])) % 65521
-        hits = np.flatnonzero(np.isin(b * 65536 + a, np.array(list(blocks), np.int64)))
-        for h in hits.tolist():
-            if h < at:
-                continue
-            window = new[h : h + size]
-            block = blocks[int(b[h] * 65536 + a[h])].get(sha256(window).digest())
-            if block is not None:
-                if h > start:
-                    ops.append(("literal", None, start, h - start))
-                ops.append(("copy", block, h, size))
-                start = at = h + size
+    ops, start, at, n, step = [], 0, 0, len(new), 2 * size
+    view, body = memoryview(new), np.frombuffer(new, np.uint8)
+    low = np.zeros(1 << 16, bool)  # of the weak sums that occur, by their lower half
+    low[[k & 0xFFFF for k in blocks]] = True
+
+    def match(i: int) -> int | None:
+        window = view[i : i + size]
+        known = blocks.get(zlib.adler32(window))
+        return None if known is None else known.get(sha256(window).digest())
+
+    while blocks and at + size <= n:
+        block = match(at)
+        if block is None:
+            last = min(n - size, at + step)
+            sums = _weak_sums(body[at : last + size], size)[1:]
+            hits = np.flatnonzero(low[sums & 0xFFFF]) + 1
+            found = next((i for i in (hits + at).tolist() if match(i) is not None), None)
+            step = 2 * size if found is not None else min(_STEP, 2 * step)
+            at = last + 1 if found is None else found
+            continue
+        if at > start:
+            ops.append(("literal", None, start, at - start))
+        ops.append(("copy", block, at, size))
+        start = at = at + size
     if start < n or not (n or web):
         ops.append(("literal", None, start, n - start))
     return ops
