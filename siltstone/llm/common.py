@@ -6,11 +6,13 @@ splits on exactly those, and no UTF-8 sequence contains one of them.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one run in the shared folder. Writing a table cuts lineage and survives lost executors."""
+    """Tables of one run in the shared folder. Writing a table cuts lineage and survives lost executors.
+
+    Results are read from them, so the folder is deleted when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        p = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        store = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(p)
+        store.deleteOnExit(p)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.path}/{name}")
@@ -58,6 +67,23 @@ def docs_of(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataF
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """``docs(doc_id, text)`` with ids that no two rows share.
+
+    Where doc_ids are unique and none is null, the rows as they are. Else each distinct pair of doc_id and text gets its
+    place in the order of doc_id (null last) and the text's SHA-256 for an id, and the second table has doc_id, node (that
+    id) and copies (how many rows it stands for).
+    """
+    ids = docs.groupBy("doc_id").count()
+    if ids.where("count > 1 or doc_id is null").isEmpty():
+        return docs, None
+    rows = docs.groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
+    order = F.sha2(F.coalesce(F.col("text"), F.lit(b"")), 256)
+    rows = rows.orderBy(F.col("doc_id").asc_nulls_last(), order, F.col("text").isNull()).withColumn("node", F.monotonically_increasing_id())
+    rows = scratch.save(rows, "numbered")
+    return rows.select(F.col("node").alias("doc_id"), "text"), rows.select("doc_id", "node", "copies")
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Deals the rows out anew where the scan has fewer splits than half the cores, as for one small file."""
     sc = df.sparkSession.sparkContext
@@ -66,11 +92,11 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df
 
 
-# ---- hashing -------------------------------------------------------------------------------------
+# ---- words and their hashes ------------------------------------------------------------------------
 
-_MASK = (1 << 64) - 1
-_BLOCK = 1 << 18  # bytes hashed at once
-_TABLES: dict[int, list[np.ndarray]] = {}
+_LONG = 128  # bytes of a word that is hashed on its own
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_KEYS = [tuple(int.from_bytes(blake2b(f"{seed} {i}".encode(), digest_size=8).digest(), "little") | 1 for i in range(5)) for seed in range(2)]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -84,45 +110,99 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _tables(seed: int, n: int) -> list[np.ndarray]:
-    """A random value for each byte; powers of an odd base and of its inverse mod 2**64."""
-    have = _TABLES.get(seed)
-    if have is None or len(have[1]) < n:
-        rng = np.random.default_rng(7919 + seed)
-        values = rng.integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False)
-        base = int(rng.integers(1 << 62, 1 << 63)) * 2 + 5 & _MASK | 1
-        size = max(_BLOCK + 1, n)
-        power = lambda b: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]))
-        have = _TABLES[seed] = [values, power(base), power(pow(base, -1, 1 << 64))]
-    return have
-
-
-def shingle_hashes(words: list[bytes], k: int, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of the len(words)-k+1 runs of k words, joined by one space. Long texts go in blocks."""
-    n = len(words)
-    if n < k or k < 1:
-        return np.zeros(0, np.uint64)
-    lens = np.fromiter(map(len, words), np.int64, n)
-    cuts, at = [0], 0
-    total = np.cumsum(lens + 1)
-    while at + k <= n:  # [at, to) has all runs that begin in it but the last k - 1 words
-        to = max(at + k, int(np.searchsorted(total, (total[at - 1] if at else 0) + _BLOCK, "right")))
-        to = min(to, n)
-        cuts.append(to)
-        at = to - k + 1
-    out, at = [], 0
-    for to in cuts[1:]:
-        part = b" ".join(words[at:to])
-        own = lens[at:to]
-        ends = np.cumsum(own + 1) - 1
-        starts = ends - own
-        values, powers, inverse = _tables(seed, len(part) + 2)
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(values[np.frombuffer(part, np.uint8)] * powers[: len(part)], out=sums[1:])
-        m = to - at - k + 1
-        out.append(mix((sums[ends[k - 1 :]] - sums[starts[:m]]) * inverse[starts[:m]]))
-        at = to - k + 1
-    return out[0] if len(out) == 1 else np.concatenate(out)
+def _stir(h: np.ndarray, keys: tuple[int, ...]) -> np.ndarray:
+    """As ``mix``, by a seed's keys and in place."""
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(keys[0])
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(keys[1])
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of parts of bytes that have eight more bytes behind them: by length and bytes, eight at a time."""
+    keys = _KEYS[seed]
+    size = ends - starts
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    h = size.astype(np.uint64) * np.uint64(keys[2]) + np.uint64(keys[3])
+    h ^= eight[starts] & _MASKS[np.minimum(size, 8)]
+    h = _stir(h, keys)
+    more, at = np.flatnonzero((size > 8) & (size <= _LONG)), 8
+    while len(more):
+        part = h[more] ^ (eight[starts[more] + at] & _MASKS[np.minimum(size[more] - at, 8)])
+        h[more] = _stir(part, keys)
+        at += 8
+        more = more[size[more] > at]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        h[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]], digest_size=16).digest()[8 * seed : 8 * seed + 8], "little")
+    return h
+
+
+class Words:
+    """Words of a text, and 64-bit hashes of them and of runs of them, for each of two seeds (128 bits together).
+
+    A word is hashed by its length and its bytes, eight at a time; a run by the hashes of its words. Each step is a
+    keyed bijection with multiplications, shifts and xor, so that no words collide by their structure.
+    """
+
+    BLOCK = 1 << 18  # words whose runs are hashed at once
+
+    def __init__(self, text: bytes | None):
+        self.text = text = text or b""
+        self.data = np.frombuffer(text + bytes(8), np.uint8)
+        other = np.ones(len(text) + 2, np.int8)  # not in a word; text and one byte on each side
+        body = self.data[: len(text)]
+        other[1:-1] = (body == 32) | (body - np.uint8(9) < 5)
+        edge = np.flatnonzero(other[1:] != other[:-1])
+        self.starts, self.ends = edge[::2], edge[1::2]
+        self.n = len(self.starts)
+        self._runs: dict[tuple[int, int], np.ndarray] = {}
+
+    def list(self) -> list[bytes]:
+        return self.text.split()
+
+    def part(self, a: int, b: int) -> Words:
+        """Words [a, b), of the same text."""
+        out = object.__new__(Words)
+        out.text, out.data, out.starts, out.ends, out.n, out._runs = self.text, self.data, self.starts[a:b], self.ends[a:b], b - a, {}
+        return out
+
+    def between(self, a: int, b: int) -> bytes:
+        """Words [a, b) joined by one space."""
+        return b" ".join(self.text[self.starts[a] : self.ends[b - 1]].split()) if b > a else b""
+
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        if (1, seed) not in self._runs:
+            self._runs[1, seed] = span_hashes(self.data, self.starts, self.ends, seed)
+        return self._runs[1, seed]
+
+    def _doubled(self, k: int, seed: int) -> np.ndarray:
+        """Hashes of runs of k words, k a power of two."""
+        if (k, seed) not in self._runs:
+            half = self._doubled(k // 2, seed) if k > 2 else self.hashes(seed)
+            self._runs[k, seed] = self._joined(half[: -(k // 2)], half[k // 2 :], seed)
+        return self._runs[k, seed]
+
+    @staticmethod
+    def _joined(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+        return _stir(a * np.uint64(_KEYS[seed][4]) + b, _KEYS[seed])
+
+    def runs(self, k: int, seed: int = 0) -> np.ndarray:
+        """Hashes of the n - k + 1 runs of k words."""
+        m = self.n - k + 1
+        if m < 1 or k < 1:
+            return np.zeros(0, np.uint64)
+        if m > self.BLOCK:
+            return np.concatenate([self.part(i, min(self.n, i + self.BLOCK + k - 1)).runs(k, seed) for i in range(0, m, self.BLOCK)])
+        out, done = None, 0
+        for bit in range(k.bit_length() - 1, -1, -1):
+            if k >> bit & 1:
+                part = self.hashes(seed) if bit == 0 else self._doubled(1 << bit, seed)
+                part = part[done : done + m]
+                out = part if out is None else self._joined(out, part, seed)
+                done += 1 << bit
+        return out
 
 
 class Bits:
@@ -178,7 +258,7 @@ def membership(spark: SparkSession, df: DataFrame, column: str, hashed: bool = F
         for i, x in have.items():
             yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int32()), "b": pa.array([x.tobytes()], pa.binary())})
 
-    rows = df.select(column).where(F.col(column).isNotNull()).mapInArrow(per_task, "i int, b binary").repartition(-(-size // 8 // slice_bytes), "i").mapInArrow(merge, "i int, b binary")
+    rows = df.select(column).where(F.col(column).isNotNull()).mapInArrow(lean(per_task), "i int, b binary").repartition(-(-size // 8 // slice_bytes), "i").mapInArrow(lean(merge), "i int, b binary")
     whole = np.zeros(size // 8, np.uint8)
     for r in rows.collect():
         whole[r["i"] * slice_bytes : (r["i"] + 1) * slice_bytes] = np.frombuffer(r["b"], np.uint8)
@@ -188,34 +268,48 @@ def membership(spark: SparkSession, df: DataFrame, column: str, hashed: bool = F
 # ---- Arrow helpers ---------------------------------------------------------------------------------
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of so many rows: a worker then has Python objects of one part only.
-
-    After the last part, Arrow returns what it holds of freed memory, as workers outlive tasks.
-    """
+def give_back() -> None:
+    """Returns freed memory to the system: workers outlive tasks, and each would keep the most it ever held."""
+    pa.default_memory_pool().release_unused()
     try:
-        for batch in batches:
-            for i in range(0, batch.num_rows, rows):
-                yield batch.slice(i, rows)
-    finally:
-        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
 
 
-def per_row(df: DataFrame, schema: str, make: Callable[[], Callable[[tuple], tuple]], flush: int = 4096) -> DataFrame:
-    """mapInArrow where ``make()``, called once a task, returns a function from a row's values to output values."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+def lean(run):
+    """A mapInArrow function that returns freed memory when it ends."""
 
-    arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
-    names = arrow.names
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = make()
-        for batch in batches:
-            for i in range(0, batch.num_rows, flush):
-                rows = [f(r) for r in zip(*(c.to_pylist() for c in batch.slice(i, flush).columns), strict=True)]
-                yield pa.RecordBatch.from_pydict({n: [r[j] for r in rows] for j, n in enumerate(names)}, schema=arrow)
+    return inner
 
-    return df.mapInArrow(run, schema)
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024, column: int | None = None, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, or of at most so many bytes of a string or binary column (a row at least).
+
+    A worker then has Python objects of one part only; after the last one it returns freed memory.
+    """
+    try:
+        for batch in batches:
+            if column is None:
+                for i in range(0, batch.num_rows, rows):
+                    yield batch.slice(i, rows)
+                continue
+            col = batch.column(column)
+            wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
+            ends = np.frombuffer(col.buffers()[1], np.int64 if wide else np.int32, len(col) + 1, col.offset * (8 if wide else 4)) if len(col) else np.zeros(1, np.int64)
+            i = 0
+            while i < len(col):
+                to = min(max(i + 1, int(np.searchsorted(ends, ends[i] + most, "right")) - 1), len(col))
+                yield batch.slice(i, to - i)
+                i = to
+    finally:
+        give_back()
 
 
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:

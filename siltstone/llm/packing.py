@@ -1,8 +1,10 @@
 """Concatenate and cut: documents' ids in one long row, cut into windows of fixed size.
 
 Pass one encodes each partition once and writes ids with their start inside the partition. A running sum over the
-partitions' totals gives each partition its global offset; pass two cuts at multiples of the window without a shuffle.
-A window that crosses partitions is put together from boundary records.
+partitions' totals gives each partition its global offset; pass two cuts at multiples of the window without a shuffle
+of ids: windows that lie in one batch are written whole, those that cross batches or partitions leave boundary records,
+which are put together by sequence. A sequence has its ids and the pieces of documents in them; results per piece are
+read from the written sequences.
 """
 
 from __future__ import annotations
@@ -17,25 +19,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, docs_of, spread
+from .common import Scratch, docs_of, slices, spread
 from .encoding import PieceEncoder, kept
 
 WINDOW, END = 4096, 2
 
 
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.BinaryArray:
+    """Parts of an array's bytes; ``ends`` in values, from 0."""
+    kind, offsets = (pa.binary(), np.int32) if data.nbytes < 1 << 31 else (pa.large_binary(), np.int64)
+    return pa.Array.from_buffers(kind, len(ends) - 1, [None, pa.py_buffer((ends * data.itemsize).astype(offsets)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def _encode(path: str, end_id: int, spaces_matter: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(PieceEncoder, path, spaces_matter)
-        width = encoder.dtype.itemsize
-        end, part, at = np.array([end_id], encoder.dtype).tobytes(), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                piece = batch.slice(i, 512)
-                ids = [x + end for x in encoder.encode(piece.column(1).to_pylist())]
-                n = np.array([len(x) // width for x in ids], np.int64)
-                start = at + np.cumsum(n) - n
-                at += int(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), piece.column(0), pa.array(start), pa.array(n), pa.array(ids, pa.binary())], ["part", "doc_id", "at", "n", "ids"])
+        part, at = TaskContext.get().partitionId(), 0
+        for piece in slices(batches, column=1):
+            ids, n = encoder.encode(piece.column(1))
+            ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+            ends = np.concatenate([[0], np.cumsum(n)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), piece.column(0), pa.array(at + ends[:-1]), pa.array(n), _binary(ids, ends)], ["part", "doc_id", "at", "n", "ids"])
+            at += int(ends[-1])
 
     return run
 
@@ -53,92 +58,96 @@ def concatenated(spark: SparkSession, docs: DataFrame, path: str, end_id: int, s
     return rows.join(base, "part").select("doc_id", (F.col("base") + F.col("at")).alias("at"), "n", "ids")
 
 
-def _cut(window: int, with_ids: bool):
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
+_PIECES = ["doc_ids", "starts", "lengths", "doc_tokens", "offsets"]
+_SEQUENCE = "sequence_id long, offset long, n_ids long, width int, ids binary, " + ", ".join(f"{c} array<bigint>" for c in _PIECES)
+
+
+def _cut(window: int):
+    """Rows of (sequence_id, offset, n_ids, ids, pieces): a sequence whole where n_ids is the window, else a boundary record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, at, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4")
-                start = 0
-                while start < n:
-                    seq, offset = divmod(at + start, window)
-                    end = min(n, start + window - offset)
-                    part = ids[start:end].tobytes()
-                    out.append((doc, start, end - start, zlib.crc32(part), n, seq, offset) + ((part,) if with_ids else ()))
-                    start = end
-            c = list(zip(*out, strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k == "ids" else pa.int64()) for k, x in zip(names, c, strict=True)], names)
+        for batch in slices(batches, column=3):
+            at, n = (batch.column(i).to_numpy().astype(np.int64) for i in (1, 2))
+            raw = batch.column(3)
+            ends = np.frombuffer(raw.buffers()[1], np.int64 if pa.types.is_large_binary(raw.type) else np.int32, len(raw) + 1, raw.offset * (8 if pa.types.is_large_binary(raw.type) else 4))
+            data = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+            ids = data.view(f"<u{len(data) // int(n.sum())}")
+            held = np.cumsum(n) - n  # where each document begins in ids
+            cut = [0, *(np.flatnonzero(at[1:] != at[:-1] + n[:-1]) + 1).tolist(), len(n)]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):  # a run of documents without a gap
+                first, last = at[a:b] // window, (at[a:b] + n[a:b] - 1) // window
+                many = last - first + 1
+                doc = np.repeat(np.arange(a, b), many)
+                seq = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+                start = np.maximum(0, seq * window - at[doc])
+                size = np.minimum(n[doc], (seq + 1) * window - at[doc]) - start
+                of = np.flatnonzero(np.concatenate([[True], seq[1:] != seq[:-1]]))
+                lists = pa.array(np.append(of, len(seq)).astype(np.int32))
+                place = np.append(held[doc[of]] + start[of], held[b - 1] + n[b - 1])
+                whose = batch.column(0).take(pa.array(doc))
+                offset = at[doc] + start - seq * window
+                values = [whose, *map(pa.array, (start, size, n[doc], offset))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(seq[of]), pa.array(offset[of]), pa.array(np.diff(place)), pa.array(np.full(len(of), ids.itemsize, np.int32)), _binary(ids[place[0] : place[-1]], place - place[0]), *(pa.ListArray.from_arrays(lists, v) for v in values)],
+                    ["sequence_id", "offset", "n_ids", "width", "ids", *_PIECES],
+                )
 
     return run
 
 
-_PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+def sequences(spark: SparkSession, rows: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:
+    """Writes the sequences of ``concatenated`` rows and reads them back: sequence_id, n_ids, width, ids, and the
+    pieces in them (doc_ids, starts, lengths, doc_tokens, offsets: lists in order of place).
+
+    ids: little-endian, of ``width`` bytes each, padded to the window unless n_ids is a power of two (so is a full window's).
+    Only the last sequence isn't full. Boundary records of a sequence are at most as many as its ids.
+    """
+    s = Scratch(spark, "sequences")
+    parts = s.save(rows.select("doc_id", "at", "n", "ids").mapInArrow(_cut(window), _SEQUENCE), "parts")
+    records = parts.where(F.col("n_ids") < window).groupBy("sequence_id", "width").agg(F.sum("n_ids").alias("n_ids"), F.sort_array(F.collect_list(F.struct("offset", "ids", *_PIECES))).alias("p"))
+    ids = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
+    zero = F.substring(F.lit(pad_id.to_bytes(4, "little").hex()), F.lit(1), 2 * F.col("width"))
+    pad = F.when(F.bit_count("n_ids") == 1, F.lit(b"")).otherwise(F.unhex(F.repeat(zero, (window - F.col("n_ids")).cast("int"))))
+    split = records.select("sequence_id", "n_ids", "width", F.concat(ids, pad).alias("ids"), *(F.flatten(f"p.{c}").alias(c) for c in _PIECES))
+    whole = parts.where(F.col("n_ids") == window).select("sequence_id", "n_ids", "width", "ids", *_PIECES)
+    return whole.union(s.save(split, "joined"))
 
 
-def pieces(rows: DataFrame, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
-    """Pieces of ``concatenated`` rows: where each lies in its document and in its sequence."""
-    return rows.select("doc_id", "at", "n", "ids").mapInArrow(_cut(window, with_ids), _PIECE + (", ids binary" if with_ids else ""))
+_PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def _windows(window: int):
-    """Whole sequences where a task has all of one, else boundary records."""
+def _pieces(with_ids: bool):
+    names = _PIECE + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq, start, size, parts = None, 0, 0, []
-
-        def flush():
-            return (seq, start, size, b"".join(parts))
-
-        for batch in batches:
-            out = []
-            for at, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4")
-                i = 0
-                while i < n:
-                    s, offset = divmod(at + i, window)
-                    if s != seq or offset != start + size:
-                        if parts:
-                            out.append(flush())
-                        seq, start, size, parts = s, offset, 0, []
-                    end = min(n, i + window - offset)
-                    parts.append(ids[i:end].tobytes())
-                    size += end - i
-                    i = end
-                    if start + size == window:
-                        out.append(flush())
-                        seq, start, size, parts = None, 0, 0, []
-            yield _boundary(out)
-        if parts:
-            yield _boundary([flush()])
+        for batch in slices(batches, 256):
+            counts = np.diff(batch.column(4).offsets.to_numpy())
+            doc, start, size, total, offset = (batch.column(4 + k).flatten() for k in range(5))
+            sizes, places, out, k = size.to_pylist(), offset.to_pylist(), [], 0
+            for width, raw, m in zip(batch.column(2).to_pylist(), batch.column(3), counts.tolist(), strict=True):
+                ids = np.frombuffer(raw.as_buffer(), f"<u{width}").astype("<u4")
+                out += [ids[places[i] : places[i] + sizes[i]].tobytes() for i in range(k, k + m)]
+                k += m
+            cols = [doc, start, size, pa.array([zlib.crc32(x) for x in out], pa.int64()), total, pa.array(np.repeat(batch.column(0).to_numpy(), counts)), offset]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(out, pa.binary())] * with_ids, names)
 
     return run
 
 
-def _boundary(rows) -> pa.RecordBatch:
-    c = list(zip(*rows, strict=True)) or [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary())], ["sequence_id", "offset", "n", "ids"])
-
-
-def sequences(rows: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:
-    """sequence_id, n_ids, ids: little-endian 32-bit, padded to the window unless n_ids is a power of two."""
-    parts = rows.select("at", "n", "ids").mapInArrow(_windows(window), "sequence_id long, offset long, n long, ids binary")
-    whole = parts.where(F.col("n") == window).select("sequence_id", F.col("n").alias("n_ids"), "ids")
-    split = parts.where(F.col("n") < window).groupBy("sequence_id").agg(F.sum("n").alias("n_ids"), F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("p"))
-    ids = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
-    pad = F.unhex(F.repeat(F.lit(pad_id.to_bytes(4, "little").hex()), (window - F.col("n_ids")).cast("int")))
-    split = split.select("sequence_id", "n_ids", F.when(F.bit_count("n_ids") == 1, ids).otherwise(F.concat(ids, pad)).alias("ids"))
-    return whole.union(split)
+def pieces(packed: DataFrame, with_ids: bool = False) -> DataFrame:
+    """Pieces of ``sequences``: where each lies in its document and in its sequence, and its ids' crc32."""
+    kinds = ", ".join(f"{c} long" for c in _PIECE) + (", ids binary" if with_ids else "")
+    return packed.select("sequence_id", "n_ids", "width", "ids", *_PIECES).mapInArrow(_pieces(with_ids), kinds)
 
 
 def pack(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Pieces of ``docs(doc_id, text)`` under the default vocabulary, end id and window.
 
-    Null or empty text: one piece of the end id. Rows with null or equal doc_id: each is a document of its own.
-    Order of documents: by input partition, then as they come; only the last sequence is not full.
+    Null or empty text: one piece of the end id. Rows with null or equal doc_id: each is a document of its own. Order
+    of documents: by input partition, then as they come; only the last sequence is not full. Extra columns are
+    ignored; an empty table gives an empty result.
     """
-    return pieces(concatenated(spark, docs, public_tokenizers.path("word_bpe_49k.json"), END))
+    return pieces(sequences(spark, concatenated(spark, docs, public_tokenizers.path("word_bpe_49k.json"), END)))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

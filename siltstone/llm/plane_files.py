@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, docs_of
+from .common import Scratch, docs_of, slices
 from .encoding import PieceEncoder, kept
 
 MAGIC, BLOCK, FILE_IDS = b"SLTP", 1 << 16, 1 << 22
@@ -56,9 +56,9 @@ def from_planes(planes: list[bytes], n: int, dtype: np.dtype, kind: int) -> np.n
     return np.ascontiguousarray(rows).view(dtype).reshape(n)
 
 
-def encode_file(doc_ids: list[int | None], texts_ids: list[bytes], width: int, block: int = BLOCK, kind: int = BYTE, level: int = 3) -> bytes:
-    dtype = np.dtype(f"<u{width}")
-    ids = np.frombuffer(b"".join(texts_ids), dtype)
+def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK, kind: int = BYTE, level: int = 3) -> bytes:
+    """A file's bytes. ``ids``: those of all documents, end to end; ``lengths``: how many each has."""
+    width = ids.itemsize
     press = zstandard.ZstdCompressor(level=level)
     out, at, index = [MAGIC + struct.pack("<BBBBI", 1, width, kind, 0, block)], 12, []
     n_planes = width * (1 if kind == BYTE else 8)
@@ -68,10 +68,10 @@ def encode_file(doc_ids: list[int | None], texts_ids: list[bytes], width: int, b
         index.append(struct.pack(f"<QII{n_planes}I", at, len(part), zlib.crc32(part.tobytes()), *map(len, frames)))
         out += frames
         at += sum(map(len, frames))
-    lens = np.array([len(x) // width for x in texts_ids], "<u8")
     docs = np.array([0 if d is None else d for d in doc_ids], "<i8")
     null = np.array([d is None for d in doc_ids], np.uint8)
-    out.append(press.compress(struct.pack("<QQQI", len(docs), len(ids), len(index), n_planes) + b"".join(index) + docs.tobytes() + null.tobytes() + lens.tobytes()))
+    head = struct.pack("<QQQI", len(docs), len(ids), len(index), n_planes)
+    out.append(press.compress(head + b"".join(index) + docs.tobytes() + null.tobytes() + lengths.astype("<u8").tobytes()))
     return b"".join([*out, struct.pack("<Q", at), MAGIC])
 
 
@@ -135,30 +135,28 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
 def _write(folder: str, path: str, end_id: int, block: int, kind: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(PieceEncoder, path, True)
-        end = np.array([end_id], encoder.dtype).tobytes()
         part, store, where = TaskContext.get().partitionId(), *_store(folder)
-        docs, texts, size, k, done = [], [], 0, 0, []
+        docs, lengths, parts, size, k, done = [], [], [], 0, 0, []
 
         def put():
-            nonlocal docs, texts, size, k
-            data = encode_file(docs, texts, encoder.dtype.itemsize, block, kind)
+            nonlocal docs, lengths, parts, size, k
+            data = encode_file(docs, np.concatenate(lengths), np.concatenate(parts), block, kind)
             name = f"{where}/part-{part:06d}-{k:06d}.sltp"
             draft = f"{where}/_draft-{uuid.uuid4().hex}"
             with store.open_output_stream(draft) as f:
                 f.write(data)
             store.move(draft, name)
             done.append((part, k, size))
-            docs, texts, size, k = [], [], 0, k + 1
-
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                piece = batch.slice(i, 512)
-                for doc, ids in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist()), strict=True):
-                    docs.append(doc)
-                    texts.append(ids + end)
-                    size += len(texts[-1]) // encoder.dtype.itemsize
-                    if size >= FILE_IDS:
-                        put()
+            docs, lengths, parts, size, k = [], [], [], 0, k + 1
+
+        for piece in slices(batches, column=1):
+            ids, n = encoder.encode(piece.column(1))
+            docs += piece.column(0).to_pylist()
+            parts.append(np.insert(ids, np.cumsum(n), end_id))
+            lengths.append(n + 1)
+            size += len(parts[-1])
+            if size >= FILE_IDS:
+                put()
         if docs:
             put()
         c = list(zip(*done, strict=True)) or [[]] * 3
@@ -168,7 +166,8 @@ def _write(folder: str, path: str, end_id: int, block: int, kind: int):
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, path: str, end_id: int = 0, block: int = BLOCK, kind: int = BYTE) -> tuple[str, DataFrame]:
-    """Encodes ``docs(doc_id, text)`` and writes files in ascending doc_id order (nulls first, ties by text).
+    """Encodes ``docs(doc_id, text)`` and writes files in ascending doc_id order (nulls first, ties by a hash
+    of the text, then the text, so that the rows of one doc_id needn't meet in a task).
 
     Returns the folder and the table of files (part, file, n_ids, base), base being the ids in all files before.
     """
@@ -178,7 +177,8 @@ def write_token_files(spark: SparkSession, docs: DataFrame, path: str, end_id: i
     store.create_dir(where, recursive=True)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
     files = s.save(ordered.mapInArrow(_write(folder, path, end_id, block, kind), "part int, file int, n_ids long"), "table")
     totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a task: few
