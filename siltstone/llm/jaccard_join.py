@@ -11,7 +11,8 @@ its members, later work is only on groups that still have members of different c
 size. No cap is put on groups, partners or candidates.
 
 Order of shingles: counts come from hashed counters whose number grows with the corpus (up to ``MOST_COUNTERS``).
-Any fixed order gives the exact result; counts only make prefixes rare. Shingles are 64-bit hashes of their words.
+Any fixed order gives the exact result; counts only make prefixes rare. Shingles are 64-bit hashes (``common.Words``): two
+given documents of 10,000 words share a hash by chance once in 10**11 pairs.
 """
 
 from __future__ import annotations
@@ -25,21 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, docs_of, membership, in_bits, mix, shingle_hashes, spread
+from .common import Scratch, Words, components, docs_of, in_bits, lean, membership, mix, slices, spread
 
 WORDS, PERCENT = 5, 80
 MOST_COUNTERS = 1 << 25
 SLICE = 1 << 15
 BINS = 512  # of the suffix filter
-BLOCK = 2048  # members of a prefix group that meet in one block
+BLOCK = 1024  # members of a prefix group that meet in one block
 
 
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles after lower-casing A-Z; of the whole text where it's shorter."""
-    words = text.lower().split() if text else []
-    if not words:
+    words = Words(text.lower()) if text else None
+    if not words or not words.n:
         return np.zeros(0, np.uint64)
-    return np.unique(shingle_hashes(words, min(k, len(words))))
+    return np.unique(words.runs(min(k, words.n)))
 
 
 def prefix_length(n: np.ndarray | int, percent: int):
@@ -53,7 +54,7 @@ def needed(a, b, percent: int):
 
 def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, column=1):
             sizes, keys = [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, k)
@@ -77,7 +78,7 @@ def _counters(k: int, width: int):
             ids = ids.astype(np.int64)
             counts[ids] = np.minimum(counts[ids].astype(np.int64) + n, 65535).astype(np.uint16)
 
-        for batch in batches:
+        for batch in slices(batches, column=0):
             for text in batch.column(0).to_pylist():
                 held.append(shingle_set(text, k))
                 size += len(held[-1])
@@ -110,7 +111,7 @@ def corpus_counts(spark: SparkSession, docs: DataFrame, k: int):
     """Broadcasts one byte per hashed counter over all documents: a step of the count. At most MOST_COUNTERS bytes, in one job."""
     letters = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = max(SLICE, min(MOST_COUNTERS, 1 << max(0, int(letters // 48)).bit_length()))
-    rows = docs.select(F.col("text").cast("binary")).mapInArrow(_counters(k, width), "i int, c binary").repartition("i").mapInArrow(_add, "i int, c binary")
+    rows = docs.select(F.col("text").cast("binary")).mapInArrow(_counters(k, width), "i int, c binary").repartition("i").mapInArrow(lean(_add), "i int, c binary")
     whole = np.zeros(width, np.uint8)
     for r in rows.collect():
         part = np.frombuffer(r["c"], np.uint8)
@@ -130,7 +131,7 @@ def _prefixes(k: int, percent: int, counts, chosen):
             return pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3])], ["h", "doc", "n", "pos"])
 
         parts, size = [], 0
-        for batch in batches:
+        for batch in slices(batches, column=1):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             use = in_bits(chosen.value, mix(ids.view(np.uint64)))
             for i in np.flatnonzero(use).tolist():
@@ -186,8 +187,8 @@ def _stars(percent: int):
         tail: list[np.ndarray] | None = None
         seen: set[tuple[int, int]] = set()
 
-        def pairs(h, doc, n, pos):
-            start = np.concatenate([[True], h[1:] != h[:-1]])
+        def pairs(h, doc, n, pos, part):
+            start = np.concatenate([[True], (h[1:] != h[:-1]) | (part[1:] != part[:-1])])
             at = np.flatnonzero(start)
             group = np.cumsum(start) - 1
             size = np.diff(np.append(at, len(h)))
@@ -207,16 +208,12 @@ def _stars(percent: int):
             return pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in fresh], pa.int64()), "b": pa.array([x[1] for x in fresh], pa.int64())})
 
         for batch in batches:
-            now = _rows(batch, "h", "doc", "n", "pos")
+            now = _rows(batch, "h", "doc", "n", "pos", "part")
             if not len(now[0]):
                 continue
             if tail is not None:
                 now = [np.concatenate(x) for x in zip(tail, now, strict=True)]
-            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last group may go on
-            if len(now[0]) - cut > 200_000:  # a very large one is tied together in parts that share their last row
-                yield pairs(*now)
-                tail = [x[-1:] for x in now]
-                continue
+            cut = int(np.argmax((now[0] == now[0][-1]) & (now[4] == now[4][-1])))  # the last group may go on
             if cut:
                 yield pairs(*(x[:cut] for x in now))
             tail = [x[cut:] for x in now]
@@ -230,7 +227,7 @@ def _near(k: int, chosen):
     """(doc, n, bins, shingles) of the documents in a bitmap: how many shingles fall in each bin, and all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, column=1):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             out = []
             for i in np.flatnonzero(in_bits(chosen.value, mix(ids.view(np.uint64)))).tolist():
@@ -254,7 +251,7 @@ def _near_batch(rows) -> pa.RecordBatch:
 
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -349,7 +346,7 @@ def link_components(spark: SparkSession, docs: DataFrame, words: int = WORDS, pe
     # a document in the bitmap by chance is a copy or the like: its rows are dropped by the join below
     rows = known.mapInArrow(_prefixes(words, percent, counts, chosen), "h long, doc long, n int, pos int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = s.save(rows.repartition(parts, "h").sortWithinPartitions("h", "n", "doc").mapInArrow(_shared, "h long, doc long, n int, pos int"), "groups")
+    groups = s.save(rows.repartition(parts, "h").sortWithinPartitions("h", "n", "doc").mapInArrow(lean(_shared), "h long, doc long, n int, pos int"), "groups")
     counts.unpersist()
     s.free()
     groups = s.save(groups.join(classes.select(F.col("class_id").alias("doc")).distinct(), "doc", "left_semi"), "members")
@@ -363,7 +360,10 @@ def link_components(spark: SparkSession, docs: DataFrame, words: int = WORDS, pe
         b = near.select(F.col("doc").alias("b"), F.col("shingles").alias("sb"))
         return s.save(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long").distinct(), name)
 
-    stars = groups.repartition(parts, "h").sortWithinPartitions("h", "n", "doc").mapInArrow(_stars(percent), "a long, b long").distinct()
+    # large groups are tied together in parts; what links the parts is found in the second round
+    many = groups.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("parts > 1")
+    dealt = groups.join(many, "h", "left").withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc"), F.col("parts"))).otherwise(0).cast("int"))
+    stars = dealt.repartition(parts, "h", "part").sortWithinPartitions("h", "part", "n", "doc").select("h", "doc", "n", "pos", "part").mapInArrow(lean(_stars(percent)), "a long, b long").distinct()
     links = verified(stars, "links-0")
     # rows of one doc_id whose sets differ are one node
     own = sig.where("n > 0 and doc_id is not null").select("doc_id", "key").join(classes, "key").select("doc_id", "class_id")
@@ -379,7 +379,7 @@ def link_components(spark: SparkSession, docs: DataFrame, words: int = WORDS, pe
     left = left.select("h", "doc", "n", "pos", "comp", "side", F.least("side", "to").alias("x"), F.greatest("side", "to").alias("y"))
     left = left.join(near.select("doc", "n", "bins"), ["doc", "n"])
     left = left.repartition(parts, "h", "x", "y").sortWithinPartitions("h", "x", "y", "n", "doc")
-    more = verified(left.mapInArrow(_rest(percent), "a long, b long").distinct(), "links-1")
+    more = verified(left.mapInArrow(lean(_rest(percent)), "a long, b long").distinct(), "links-1")
     comp = components(spark, links.union(more), s, "second")
 
     node = sig.join(classes.select("key", "class_id"), "key", "left")

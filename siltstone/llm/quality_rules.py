@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, docs_of, in_bits, membership, mix, shingle_hashes, spread
+from .common import Scratch, docs_of, in_bits, membership, mix, slices, spread, Words
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MOST_REPEATED = 50, 50  # base rules: words; percent of words in repeated windows
@@ -41,7 +41,7 @@ def rule_stats(text: bytes | None) -> tuple[int, ...]:
         seen.add(line)
     repeated = 0
     if len(words) > 3:
-        _, back, n = np.unique(shingle_hashes(words, 3), return_inverse=True, return_counts=True)
+        _, back, n = np.unique(Words(text).runs(3), return_inverse=True, return_counts=True)
         hit = n[back] > 1
         covered = np.zeros(len(words), bool)
         for i in range(3):
@@ -155,16 +155,14 @@ class Forests:
 def _judge(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forests = model.value
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
-                stats = np.array(list(map(rule_stats, part.column(1).to_pylist())), np.int64).reshape(-1, len(STATS))
-                score = forests.anomaly(ratios(stats)) if forests else np.zeros(len(stats))
-                failed = (stats[:, 0] < MIN_WORDS) | (100 * stats[:, 4] > MOST_REPEATED * stats[:, 0])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(stats[:, k]) for k in range(len(COUNTS))), pa.array(failed), pa.array(score), pa.array(~failed & (score <= 1))],
-                    ["doc_id", *COUNTS, "base_failed", "anomaly", "kept"],
-                )
+        for part in slices(batches, column=1):
+            stats = np.array(list(map(rule_stats, part.column(1).to_pylist())), np.int64).reshape(-1, len(STATS))
+            score = forests.anomaly(ratios(stats)) if forests else np.zeros(len(stats))
+            failed = (stats[:, 0] < MIN_WORDS) | (100 * stats[:, 4] > MOST_REPEATED * stats[:, 0])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), *(pa.array(stats[:, k]) for k in range(len(COUNTS))), pa.array(failed), pa.array(score), pa.array(~failed & (score <= 1))],
+                ["doc_id", *COUNTS, "base_failed", "anomaly", "kept"],
+            )
 
     return run
 
@@ -202,12 +200,10 @@ def _labelled(ids):
     """Statistics of the rows whose doc_id is in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
-                part = part.filter(pa.array(in_bits(ids.value, mix(part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))))
-                stats = np.array(list(map(rule_stats, part.column(1).to_pylist())), np.int64).reshape(-1, len(STATS))
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, stats.T)], ["doc_id", *STATS])
+        for part in slices(batches, column=1):
+            part = part.filter(pa.array(in_bits(ids.value, mix(part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))))
+            stats = np.array(list(map(rule_stats, part.column(1).to_pylist())), np.int64).reshape(-1, len(STATS))
+            yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, stats.T)], ["doc_id", *STATS])
 
     return run
 
@@ -216,12 +212,11 @@ def _highest(model, most: int):
     """Each forest's scores of the moved rows, without those that ``most`` rows of the batch exceed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 8192):
-                *stats, n = (c.to_numpy() for c in batch.slice(i, 8192).columns)
-                for k, score in enumerate(model.value.scores(moved(ratios(np.stack(stats, 1)))).T):
-                    at = np.flatnonzero(score >= np.partition(score, -most)[-most]) if len(score) > most else np.arange(len(score))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(score[at]), pa.array(n[at])], ["forest", "score", "n"])
+        for batch in slices(batches, 8192):
+            *stats, n = (c.to_numpy() for c in batch.columns)
+            for k, score in enumerate(model.value.scores(moved(ratios(np.stack(stats, 1)))).T):
+                at = np.flatnonzero(score >= np.partition(score, -most)[-most]) if len(score) > most else np.arange(len(score))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(score[at]), pa.array(n[at])], ["forest", "score", "n"])
 
     return run
 
