@@ -5,8 +5,10 @@ query probes all tables at segment radius 0, 1, 2, ...; after radius r every cod
 segments * (r + 1) - 1 has been met, so the search ends once the kth verified distance is no more than that. Distances
 tie by smaller id.
 
-Rows with equal codes tie with each other for every query, so only the k smallest ids of a code go in the index. Index
-blocks meet query blocks of bounded size; each pair gives its own k best, and the k best of those are kept.
+Rows with equal codes tie with each other for every query, so only the k smallest ids of a code go in the index. The
+index is dealt to blocks that fit in a task's memory; every query meets every block, and streams through it. A block
+gives its own k best; the k best of those are kept. Queries are dealt to parts only as far as the index has fewer
+blocks than there are tasks, as each part needs the block anew: rows shuffled are codes x parts + queries x blocks.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import docs_of
+from .common import docs_of, slices
 
 K, EVERY = 10, 50
-INDEX_BLOCK, QUERY_BLOCK, SEGMENT = 40_000, 10_000, 16
+INDEX_BLOCK, LEAST_QUERIES, SEGMENT = 1_000_000, 500, 16  # codes of a block, some 50 MB; queries worth building one for
 
 
 class MultiIndex:
@@ -31,9 +33,10 @@ class MultiIndex:
     def __init__(self, ids: np.ndarray, codes: np.ndarray, bits: int = SEGMENT):
         order = np.argsort(ids, kind="stable")
         self.ids, self.codes, self.bits = ids[order], codes[order], bits
-        self.parts = self.segments(self.codes)
-        self.order = [np.argsort(p, kind="stable") for p in self.parts]
-        self.starts = [np.searchsorted(p[o], np.arange((1 << bits) + 1)) for p, o in zip(self.parts, self.order, strict=True)]
+        self.order, self.starts = [], []
+        for p in self.segments(self.codes):
+            self.order.append(np.argsort(p, kind="stable").astype(np.int32))
+            self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(p, minlength=1 << bits))]))
 
     def segments(self, codes: np.ndarray) -> list[np.ndarray]:
         mask = np.uint64((1 << self.bits) - 1)
@@ -76,23 +79,29 @@ def _masks(bits: int, radius: int) -> np.ndarray:
 
 
 def _answer(k: int):
+    """Rows in order of (block, part, kind): a block's codes, then the queries that meet it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, codes, index = None, [], [], None
-        for batch in batches:
+        now, held, index = None, [], None
+        for batch in slices(batches, 8192):
+            i, q, kind, ids = (batch.column(c).to_numpy() for c in range(4))
+            codes = batch.column(4).flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+            cut = [0, *(np.flatnonzero((i[1:] != i[:-1]) | (q[1:] != q[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), len(ids)]
             out = []
-            for i, q, kind, vec, code in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (i, q) != now:
-                    now, ids, codes, index = (i, q), [], [], None
-                if kind == 0:
-                    ids.append(vec)
-                    codes.append(code)
-                elif ids:
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if (i[a], q[a]) != now:
+                    now, held, index = (i[a], q[a]), [], None
+                if kind[a] == 0:
+                    held.append((ids[a:b], codes[a:b]))
+                elif held or index is not None:
                     if index is None:
-                        index = MultiIndex(np.array(ids, np.int64), np.array(codes, np.int64).view(np.uint64))
-                    got, far = index.search(np.array(code, np.int64).view(np.uint64), k)
-                    out += [(vec, int(a), int(d)) for a, d in zip(got, far, strict=True)]
-            c = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], ["query_id", "vec_id", "distance"])
+                        index = MultiIndex(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+                        held = []
+                    for one, code in zip(ids[a:b].tolist(), codes[a:b], strict=True):
+                        got, far = index.search(code, k)
+                        out.append((np.full(len(got), one, np.int64), got, far))
+            c = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in c], ["query_id", "vec_id", "distance"])
 
     return run
 
@@ -102,7 +111,7 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
 
     Bits: whether a number is over 0 (NaN is, null isn't); vectors shorter than the longest lack those bits. Rows
     without id or vector are neither found nor queries. A vector that is a row too finds itself. Repeated rows of an id
-    are one row of each code. Fewer than k rows: all of them.
+    are one row of each code. Fewer than k rows: all of them. Extra columns are ignored; empty tables give an empty result.
     """
     longest = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
     words = max(1, -(-longest // 64))
@@ -116,13 +125,13 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     rank = F.row_number().over(Window.partitionBy("code").orderBy("vec_id"))
     rows = coded(vectors).withColumn("r", rank).where(F.col("r") <= k).drop("r")
     asked = coded(queries)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, -(-vectors.count() // INDEX_BLOCK))
-    query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    query_blocks = max(1, min(-(-parts // blocks), asked.count() // LEAST_QUERIES))
     own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     both = rows.select(own(blocks).alias("i"), every(query_blocks).alias("q"), F.lit(0).alias("kind"), "vec_id", "code")
     both = both.union(asked.select(every(blocks).alias("i"), own(query_blocks).alias("q"), F.lit(1).alias("kind"), "vec_id", "code"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = both.repartition(parts, "i", "q").sortWithinPartitions("i", "q", "kind").mapInArrow(_answer(k), "query_id long, vec_id long, distance long")
     # a query id with several codes keeps the nearest of each row
     met = met.groupBy("query_id", "vec_id").agg(F.min("distance").alias("distance"))

@@ -1,7 +1,7 @@
 """Secret scans with a random forest that removes false positives.
 
-Candidates are long runs of token characters with a digit or of unusual length, and values given to names such as
-``token`` or ``password``. The forest looks at a candidate's length, transitions between character classes, coverage by
+Candidates are long runs of token characters with a digit or of unusual length, values given to names such as
+``token`` or ``password``, blocks of private keys, and the password in an address such as ``db://user:password@host``. The forest looks at a candidate's length, transitions between character classes, coverage by
 dictionary words, whether it lies in a path, and the words around it.
 
 No table of labelled findings is given, so the forest is trained on findings made here from templates: ``FINDINGS`` of
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, spread
+from .common import docs_of, slices, spread
 
 FINDINGS, TREES, DEPTH, CUT = 6000, 40, 12, 0.5
 NAMES = ["token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "auth_token", "client_secret", "private_key", "credential", "bearer", "authorization"]
@@ -33,7 +33,10 @@ WORDS = ["about", "account", "action", "address", "admin", "after", "also", "arr
 
 _RUN = rb"[A-Za-z0-9+/_.\-]{16,}={0,2}"
 _NAMED = rb"(?i:\b(?:" + b"|".join(n.replace("_", "[_-]?").encode() for n in NAMES) + rb"))[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>|,;()]{8,})"
-_CANDIDATE = re.compile(_NAMED + rb"|(" + _RUN + rb")")
+_BLOCK = rb"(-----BEGIN [A-Z0-9 ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s:,\-]{0,20000}?-----END [A-Z0-9 ]{0,24}PRIVATE KEY-----)"
+_IN_ADDRESS = rb"://[^\s/:@\"'<>]{0,64}:([^\s/@\"'<>]{4,})@"
+_CANDIDATE = re.compile(_BLOCK + rb"|" + _IN_ADDRESS + rb"|" + _NAMED + rb"|(" + _RUN + rb")")
+_MARKS = b".!?*#$%&-"  # may end a sentence rather than a value
 _DICTIONARY = re.compile("|".join(sorted(WORDS, key=len, reverse=True)).encode())
 _BEFORE = re.compile(b"|".join(n.replace("_", "[_-]?").encode() for n in NAMES))
 _HARMLESS = re.compile(b"|".join(n.replace("_", "[_-]?").encode() for n in HARMLESS))
@@ -41,17 +44,19 @@ _CLASS = bytes(1 if 97 <= c <= 122 else 2 if 65 <= c <= 90 else 3 if 48 <= c <=
 AROUND = 48  # bytes before and after that count as neighbouring words
 
 
-def candidates(text: bytes) -> list[tuple[int, int]]:
-    """Spans of candidates, in order, none overlapping."""
+def candidates(text: bytes) -> list[tuple[int, int, int]]:
+    """(start, end, end with the marks behind it) of candidates, in order, none overlapping."""
     out = []
     for m in _CANDIDATE.finditer(text):
-        a, b = m.span(1) if m.group(1) is not None else m.span(2)
-        value = text[a:b]
-        stripped = value.rstrip(b".!?*#$%&-")
-        b -= len(value) - len(stripped)
-        if m.group(1) is not None or len(stripped) >= 24 or (len(stripped) >= 16 and any(48 <= c <= 57 for c in stripped)):
-            if b - a >= 8:
-                out.append((a, b))
+        kind = m.lastindex
+        a, whole = m.span(kind)
+        if kind < 3:  # a block, or in an address: as it is
+            out.append((a, whole, whole))
+            continue
+        value = text[a:whole].rstrip(_MARKS)
+        if kind == 3 or len(value) >= 24 or (len(value) >= 16 and any(48 <= c <= 57 for c in value)):
+            if len(value) >= 8:
+                out.append((a, a + len(value), whole))
     return out
 
 
@@ -79,6 +84,7 @@ def features(text: bytes, a: int, b: int) -> list[float]:
         float(bool(_BEFORE.search(before[-28:]))), float(bool(_BEFORE.search(before))),
         float(len(_HARMLESS.findall(before[-28:]))), float(bool(_HARMLESS.search(after))), float(bool(_HARMLESS.search(low))),
         float(v.count(b"-") == 4 and n == 36),
+        float(v.startswith(b"-----BEGIN")), float(text[b : b + 1] == b"@"), float(n == 20 and v[:1] == b"A" and v.isupper() and v.isalnum()),
     ]
 
 
@@ -91,12 +97,25 @@ def made_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[bytes, int, in
     b64 = lambda k: base64.b64encode(bytes(r.randrange(256) for _ in range(k))).decode()
     prose = lambda: " ".join(text(r.randint(2, 9), low) for _ in range(r.randint(0, 7)))
     # kinds of values: hexadecimal, base 62, base 64, mixed passwords, prefixed keys
-    true = [lambda: hexed(r.choice((32, 40, 40, 48, 64))), lambda: text(r.randint(18, 48), low + up + dig), lambda: b64(r.randint(15, 48)), lambda: text(r.randint(10, 20), low + up + dig + "!@#%_"), lambda: f"{text(r.randint(2, 4), low)}_{text(r.randint(24, 40), low + up + dig)}", lambda: f"{text(4, up)}{text(16, up + dig)}"]
+    true = [lambda: hexed(r.choice((32, 40, 40, 48, 64))), lambda: text(r.randint(18, 48), low + up + dig), lambda: b64(r.randint(15, 48)), lambda: text(r.randint(10, 20), low + up + dig + "!@#%_"), lambda: f"{text(r.randint(2, 4), low)}_{text(r.randint(24, 40), low + up + dig)}", lambda: f"A{text(3, up)}{text(16, up + dig)}", lambda: f"{text(4, up)}{text(16, up + dig)}"]
     words = lambda k, sep: sep.join(r.choice(WORDS) for _ in range(k))
     out = []
     while len(out) < n:
         secret = r.random() < 0.5
         case = r.choice((str, str, str.upper))
+        if r.random() < 0.12:  # without a name: key blocks, addresses with a password, keys by their form; addresses without
+            kind = r.randrange(4)
+            mark = r.choice(("", "RSA ", "EC ", "OPENSSH "))
+            body = "\n".join(b64(r.randint(4, 48)) for _ in range(r.randint(1, 20)))
+            lead, v, tail = (
+                ("", f"-----BEGIN {mark}PRIVATE KEY-----\n{body}\n-----END {mark}PRIVATE KEY-----", "\n"),
+                (f"{r.choice(('postgres', 'mysql', 'amqp', 'https', 'redis'))}://{text(r.randint(3, 9), low)}:", text(r.randint(5, 20), low + up + dig + "!#%_"), f"@{text(6, low)}.{r.choice(('com', 'org', 'local'))}/{text(4, low)}"),
+                (" ", f"A{text(3, up)}{text(16, up + dig)}", " "),
+                ("https://", f"{'/'.join(r.choice(WORDS) for _ in range(4))}/{text(8, dig)}", " "),
+            )[kind]
+            head = f"{prose()} {lead}".encode()
+            out.append((head + v.encode() + f"{tail}{prose()}".encode(), len(head), len(head) + len(v), kind < 3))
+            continue
         if secret:
             v = r.choice(true)()
             name = r.choice(NAMES)
@@ -201,9 +220,9 @@ MASK = b"[SECRET]"
 def find_secrets(forest: RandomForest, texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]]]]:
     """For each text the number of candidates and the spans judged secret."""
     spans = [candidates(t) if t else [] for t in texts]
-    rows = [features(t, a, b) for t, s in zip(texts, spans, strict=True) for a, b in s]
+    rows = [features(t, a, b) for t, s in zip(texts, spans, strict=True) for a, b, _ in s]
     hit = iter((forest.score(np.array(rows)) > CUT).tolist() if rows else [])
-    return [(len(s), [x for x in s if next(hit)]) for s in spans]
+    return [(len(s), [(a, end) for a, _, end in s if next(hit)]) for s in spans]
 
 
 def masked(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -216,16 +235,14 @@ def masked(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def _scan(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                texts = part.column(1).to_pylist()
-                found = find_secrets(model.value, texts)
-                clean = [None if t is None else masked(t, s) for t, (_, s) in zip(texts, found, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()), pa.array([sha256(t or b"").hexdigest() for t in clean]), pa.array(clean, pa.binary())],
-                    ["doc_id", "n_candidates", "n_secrets", "masked_sha256", "masked"],
-                )
+        for part in slices(batches, column=1):
+            texts = part.column(1).to_pylist()
+            found = find_secrets(model.value, texts)
+            clean = [None if t is None else masked(t, s) for t, (_, s) in zip(texts, found, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()), pa.array([sha256(t or b"").hexdigest() for t in clean]), pa.array(clean, pa.binary())],
+                ["doc_id", "n_candidates", "n_secrets", "masked_sha256", "masked"],
+            )
 
     return run
 
@@ -233,7 +250,9 @@ def _scan(model):
 def scan(spark: SparkSession, docs: DataFrame, forest: RandomForest | None = None) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, n_candidates, n_secrets, masked_sha256, masked; a row for each row.
 
-    Null text: no candidates, null stays null (its hash is that of nothing). Null and equal doc_ids go through.
+    Null text: no candidates, null stays null (its hash is that of nothing). Null and equal doc_ids go through. A secret
+    is masked with the marks behind it, up to the next space or quote. Extra columns are ignored; an empty table gives
+    an empty result.
     """
     docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")))
     model = spark.sparkContext.broadcast(forest or train())

@@ -2,14 +2,16 @@
 
 A pre-token is a word with the vocabulary's space mark before it. The best segmentation of a prefix doesn't depend on
 what follows, so each trie node gets its forward score and the tokens of its best path once, whatever number of
-pre-tokens run through it; terminals keep their counts. Scores are whole numbers, so sums have no rounding: the score
-of the piece of id i is -round(10**6 * ln(i + 2)); ties go to fewer tokens. A character that no piece holds costs more
+pre-tokens run through it; terminals keep their counts. Scores are whole numbers, so sums have no rounding: ids are in
+order of frequency, and by Zipf's law the unigram model gives the piece of id i a probability in proportion to
+1 / (i + 2): its score is -round(10**6 * ln(i + 2)). Ties go to fewer tokens. A character that no piece holds costs more
 than any piece and counts one token for each UTF-8 byte (byte fallback).
 """
 
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -17,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, spread
+from .common import docs_of, slices, spread
 from .encoding import kept
 
 MARK = "▁"
 MOST_WORDS = 1_000_000  # terminal counts kept in a task
-MOST_LETTERS = 64 * 1024  # of a pre-token that goes in the trie; longer ones are scored alone, with the same steps
+MOST_LETTERS = 512  # of a pre-token that goes in the trie; longer ones are scored by positions, with the same steps
 _LOADED: dict = {}
 
 
@@ -90,11 +92,29 @@ class PretokenTrie:
         return found
 
 
+def count_long(word: str, scores: dict[str, int], longest: int, unknown: int) -> int:
+    """Tokens of the best segmentation of one pre-token of any length: holds the scores of the last prefixes only."""
+    forward: deque[tuple[int, int]] = deque([(0, 0)], maxlen=longest)  # (score, -tokens); the last one is the longest prefix's
+    for end in range(1, len(word) + 1):
+        c = word[end - 1]
+        best = (forward[-1][0] + unknown, forward[-1][1] - len(c.encode("utf-8", "surrogatepass")))
+        n = len(forward)
+        text = word[end - n : end]
+        for i, b in enumerate(forward):
+            s = scores.get(text[i:])
+            if s is not None:
+                b = (b[0] + s, b[1] - 1)
+                if b > best:
+                    best = b
+        forward.append(best)
+    return -forward[-1][1]
+
+
 class Counter:
     """Counts of pre-tokens; keeps terminal counts until there are too many, then starts anew."""
 
     def __init__(self, scores: dict[str, int], most: int = MOST_WORDS):
-        self.scores, self.most, self.known = scores, most, {}
+        self.scores, self.most, self.known, self.large = scores, most, {}, []
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.known]
@@ -103,7 +123,11 @@ class Counter:
             new = list(words)
         trie, letters = PretokenTrie(self.scores), 0
         for w in sorted(new):
-            if letters > 300_000 or len(w) > MOST_LETTERS:
+            if len(w) > MOST_LETTERS:
+                self.known[w] = count_long(w, self.scores, trie.longest, trie.unknown)
+                self.large.append(w)
+                continue
+            if letters > 300_000:
                 self.known.update(trie.counts())
                 trie, letters = PretokenTrie(self.scores), 0
             trie.insert(w)
@@ -113,7 +137,10 @@ class Counter:
     def count(self, texts: list[list[str]]) -> list[int]:
         self.learn(set().union(*texts))
         get = self.known.__getitem__
-        return [sum(map(get, t)) for t in texts]
+        out = [sum(map(get, t)) for t in texts]
+        while self.large:  # not kept
+            self.known.pop(self.large.pop(), None)
+        return out
 
 
 def _counter(path: str) -> Counter:
@@ -123,11 +150,9 @@ def _counter(path: str) -> Counter:
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = kept(_counter, path)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                texts = [[MARK + w.decode() for w in (t or b"").split()] for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, texts), pa.int64()), pa.array(counter.count(texts), pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
+        for part in slices(batches, column=1):
+            texts = [[MARK + w.decode() for w in (t or b"").split()] for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, texts), pa.int64()), pa.array(counter.count(texts), pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
 
     return run
 
@@ -135,7 +160,8 @@ def _count(path: str):
 def token_counts(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, n_pretokens, n_tokens, a row for each row.
 
-    Null, empty or blank text: 0 and 0. Null and equal doc_ids go through. Extra columns are ignored.
+    Null, empty or blank text: 0 and 0. Null and equal doc_ids go through. Extra columns are ignored. An empty table
+    gives an empty result. A word of any length takes memory for itself and the scores of its last prefixes.
     """
     docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")))
     return docs.mapInArrow(_count(path), "doc_id long, n_pretokens long, n_tokens long")
