@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import jaccard_join, packing, phrase_dedup, quality_rules, secret_scan
-from siltstone.llm.common import Scratch, docs_of, spread
+from siltstone.llm.common import Scratch, docs_of, slices, spread
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -24,18 +24,17 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the forest; null and blank texts don't."""
+    """Documents that pass the base rules and the forest; null and blank texts don't. Rows without doc_id, or with an
+    equal one, are judged as the others; an empty table gives an empty result."""
     docs = spread(_plain(docs))
     model = spark.sparkContext.broadcast(quality_rules.fit(spark, docs.withColumn("text", F.col("text").cast("binary")), docs_of(spark, sf_dir, "labels")))
     judge = quality_rules._judge(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
-                slim = pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.binary())], ["doc_id", "text"])
-                for verdict in judge(iter([slim])):
-                    yield part.filter(verdict.column(verdict.schema.get_field_index("kept")))
+        for part in slices(batches, column=1):
+            slim = pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.binary())], ["doc_id", "text"])
+            for verdict in judge(iter([slim])):
+                yield part.filter(verdict.column(verdict.schema.get_field_index("kept")))
 
     return docs.mapInArrow(run, SCHEMA)
 
@@ -50,24 +49,29 @@ def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return Scratch(spark, "numbered").save(rows.orderBy("doc_id", "text").withColumn("node", F.monotonically_increasing_id()), "rows")
 
 
+def _in_order(docs: DataFrame) -> DataFrame:
+    """Rows of each partition in a fixed order: joins leave them as they arrive, and packing goes by their order."""
+    return docs.sortWithinPartitions("doc_id", "text")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id (then the first text in order) in each component of links.
 
     Texts that share a doc_id are documents of their own: those not linked to or equal to another stay. Rows without
-    doc_id stay.
+    doc_id, null and blank texts stay; an empty table gives an empty result.
     """
     docs = _plain(docs)
     rows = _numbered(spark, docs)
     found = jaccard_join.link_components(spark, rows.select(F.col("node").alias("doc_id"), "text"))
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("node")).distinct()
-    return rows.join(gone, "node", "left_anti").select(COLUMNS).union(docs.where("doc_id is null").select(COLUMNS))
+    return _in_order(rows.join(gone, "node", "left_anti").select(COLUMNS).union(docs.where("doc_id is null").select(COLUMNS)))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words that windows repeat, joined by single spaces where any went; others as they are.
 
     Texts that share a doc_id are documents of their own, in order of text. Documents of which nothing is left go. Rows
-    without doc_id stay as they are.
+    without doc_id, null and blank texts stay as they are; an empty table gives an empty result.
     """
     docs = _plain(docs)
     rows = _numbered(spark, docs)
@@ -75,29 +79,27 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = rows.join(cut, "node", "left").where("left is null or left <> ''")
     text = F.coalesce("left", "text")
     out = out.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("left").isNotNull(), F.length("left").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
-    return out.union(docs.where("doc_id is null").select(COLUMNS))
+    return _in_order(out.union(docs.where("doc_id is null").select(COLUMNS)))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with secrets masked; no document goes."""
+    """Texts with secrets masked; no document goes. Null texts stay null; an empty table gives an empty result."""
     docs = spread(_plain(docs))
     model = spark.sparkContext.broadcast(secret_scan.train())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                texts = [None if t is None else t.encode() for t in part.column(1).to_pylist()]
-                found = secret_scan.find_secrets(model.value, texts)
-                new = [None if t is None else secret_scan.masked(t, s).decode() for t, (_, s) in zip(texts, found, strict=True)]
-                size = [len(t) if s else n for t, (_, s), n in zip(new, found, part.column(4).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(new, pa.string()), part.column(2), part.column(3), pa.array(size, pa.int64())], COLUMNS)
+        for part in slices(batches, column=1):
+            texts = [None if t is None else t.encode() for t in part.column(1).to_pylist()]
+            found = secret_scan.find_secrets(model.value, texts)
+            new = [None if t is None else secret_scan.masked(t, s).decode() for t, (_, s) in zip(texts, found, strict=True)]
+            size = [len(t) if s else n for t, (_, s), n in zip(new, found, part.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(new, pa.string()), part.column(2), part.column(3), pa.array(size, pa.int64())], COLUMNS)
 
     return docs.mapInArrow(run, SCHEMA)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 ids."""
+    """Pieces of sequences of 4096 ids. Null and empty texts are one piece of the end id; an empty table gives none."""
     return packing.pack(spark, docs)
 
 
