@@ -75,6 +75,11 @@ def latest_version(versions: DataFrame) -> DataFrame:
     return versions.withColumn("_r", row).where("_r = 1").drop("_r")
 
 
+def specific_version(versions: DataFrame, asked: DataFrame) -> DataFrame:
+    """The versions that ``asked(file_id, version_no)`` names."""
+    return versions.join(asked.select("file_id", "version_no"), ["file_id", "version_no"], "left_semi")
+
+
 def current_version(files: DataFrame, versions: DataFrame) -> DataFrame:
     """By the file's pointer, which needn't be the largest number."""
     return files.select("file_id", F.col("current_version_id").alias("version_id")).join(versions, ["file_id", "version_id"])
@@ -278,6 +283,17 @@ def expired(sessions: DataFrame, at: Column) -> DataFrame:
     return sessions.where(F.col("expires_at") < at)
 
 
+def stored(objects: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked(strong_hash)`` with whether each is stored."""
+    have = objects.select("strong_hash", F.lit(True).alias("_have")).distinct()
+    return asked.join(have, "strong_hash", "left").withColumn("stored", F.coalesce("_have", F.lit(False))).drop("_have")
+
+
+def delete_objects(objects: DataFrame, gone: DataFrame) -> DataFrame:
+    """What is left of the objects."""
+    return objects.join(gone.select("strong_hash"), "strong_hash", "left_anti")
+
+
 def put_objects(objects: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of ``new(strong_hash, bytes)`` to append: hashes match and aren't stored yet."""
     return new.where(F.sha2("bytes", 256) == F.col("strong_hash")).dropDuplicates(["strong_hash"]).join(objects.select("strong_hash"), "strong_hash", "left_anti")

@@ -116,6 +116,15 @@ def hash_slices(spark, d):
     return chunking.hash_slices(t, "content", "o", "l", "doc_id").select("doc_id", F.col("slice_index").cast("long").alias("slice_index"), "offset", "length", "strong_hash")
 
 
+@query("""SELECT doc_id, CAST(i AS BIGINT) AS slice_index, CAST(i * 700 AS BIGINT) AS "offset", CAST(700 AS BIGINT) AS length, sha256(unhex(substr(hex(text), 1 + i * 1400, 1400))) AS strong_hash
+FROM (SELECT doc_id, text, unnest(range(0, (strlen(text) + 699) // 700)) AS i FROM documents)""")
+def hash_slices_whole(spark, d):
+    n = F.octet_length("content")
+    starts = F.when(n > 0, F.sequence(F.lit(0).cast("long"), (n - 1).cast("long"), F.lit(700).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    t = docs(spark, d).withColumn("o", starts).withColumn("l", F.transform("o", lambda x: F.lit(700).cast("long")))
+    return chunking.hash_slices(t, "content", "o", "l", "doc_id").select("doc_id", F.col("slice_index").cast("long").alias("slice_index"), "offset", "length", "strong_hash")
+
+
 # ---- deltas ---------------------------------------------------------------------------------------
 
 

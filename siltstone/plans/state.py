@@ -79,6 +79,24 @@ def api_keys(spark, d):
     return table(spark, d, "events").select("event_id", scalars.api_key_is_valid(k).alias("valid"), scalars.api_key_prefix(k).alias("prefix"), scalars.api_key_hash(k).alias("key_hash"))
 
 
+@query(f"WITH {VERSIONS} SELECT file_id, version_id, version_no, size FROM versions WHERE version_no = 3")
+def specific_version(spark, d):
+    v = versions(spark, d)
+    return store.specific_version(v, v.select("file_id").distinct().withColumn("version_no", F.lit(3).cast("long"))).select("file_id", "version_id", "version_no", "size")
+
+
+@query(f"WITH {_HALVES} SELECT DISTINCT strong_hash, strong_hash IN (SELECT strong_hash FROM old) AS stored FROM new")
+def objects_stored(spark, d):
+    c = chunks(spark, d)
+    return store.stored(c.where("doc_id % 2 = 0"), c.where("doc_id % 2 = 1").select("strong_hash").distinct())
+
+
+@query(f"WITH {_HALVES} SELECT doc_id, block_index, strong_hash FROM old WHERE strong_hash NOT IN (SELECT strong_hash FROM new)")
+def objects_left(spark, d):
+    c = chunks(spark, d)
+    return store.delete_objects(c.where("doc_id % 2 = 0"), c.where("doc_id % 2 = 1")).select("doc_id", "block_index", "strong_hash")
+
+
 # ---- client ------------------------------------------------------------------------------------------
 
 
