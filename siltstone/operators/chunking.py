@@ -67,24 +67,39 @@ def cdc_ends(data: bytes, p: Profile) -> list[int]:
     return ends
 
 
+def _running_xor(bits: np.ndarray) -> None:
+    """Each row's running xor of 0s and 1s, in place; rows are a multiple of 64 long. 64 places at once, as one number."""
+    words = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+    for step in (1, 2, 4, 8, 16, 32):
+        words ^= words << np.uint64(step)
+    if words.shape[1] > 1:
+        carry = np.bitwise_xor.accumulate(words >> np.uint64(63), axis=1)
+        words[:, 1:] ^= np.uint64(0) - carry[:, :-1]
+    bits[:] = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+
+
 def _fingerprints(first: np.ndarray, data: np.ndarray, bits: int) -> np.ndarray:
     """Low bits of the fingerprint after each byte, of rows that start from ``first``; as wide as first.
 
     The multiplier is odd, so bit i of a product is bit i of the factor, flipped by what the bits below it carry up. Each
     bit is thus a running xor over the row once the bits below are known: a pass over the rows for each bit.
     """
-    kind = first.dtype.type
-    before, after = np.zeros(data.shape, kind), np.zeros(data.shape, kind)
+    kind, (rows, width) = first.dtype.type, data.shape
+    before, after, flips = np.zeros(data.shape, kind), np.zeros(data.shape, kind), np.empty(data.shape, kind)
+    running = np.zeros((rows, width + -width % 64), np.uint8)
+    multiplier = kind(MULTIPLIER & ((1 << 8 * first.itemsize) - 1))
     for i in range(bits):
         before[:, 0] = first & kind((1 << i) - 1)
-        flip = before * kind(MULTIPLIER & ((1 << 8 * first.itemsize) - 1))
-        flip >>= kind(i)
+        np.multiply(before, multiplier, out=flips)
         if i < 8:
-            flip ^= data >> np.uint8(i)
-        flip = flip.astype(np.uint8) & np.uint8(1)
-        flip[:, 0] ^= (first >> kind(i) & kind(1)).astype(np.uint8)
-        np.bitwise_xor.accumulate(flip, axis=1, out=flip)
-        bit = flip.astype(kind) << kind(i)
+            flips ^= data
+        flips >>= kind(i)
+        running[:, :width] = flips
+        running &= np.uint8(1)
+        running[:, 0] ^= (first >> kind(i) & kind(1)).astype(np.uint8)
+        _running_xor(running)
+        bit = running[:, :width].astype(kind)
+        bit <<= kind(i)
         after |= bit
         before[:, 1:] |= bit[:, :-1]
     return after
