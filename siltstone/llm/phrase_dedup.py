@@ -7,8 +7,8 @@
 3. Automata: passages are sharded by document; each shard compiles phrases of its passages, at least one in each
    window, with pyahocorasick over words coded as characters. A document's recurring windows say which shards have their first occurrences (each
    window one shard); the stretch of the document that they span streams through that shard's automaton. Each hit is
-   extended word by word, so hashes never decide what is removed (they route: 128 bits, see ``common.Words``). Shards that many documents need are copied, and the
-   stretches are dealt over the copies.
+   extended word by word, so hashes never decide what is removed (they route: 128 bits, see ``common.Words``). Shards that many more documents
+   need than others are copied, and the stretches are dealt over the copies.
 
 Texts equal as word sequences are one class: beyond the first, all words are covered, if there are 20 or more.
 """
@@ -29,7 +29,7 @@ from .common import Scratch, Words, docs_of, in_bits, lean, membership, mix, num
 WINDOW, ANCHOR = 20, 8
 PHRASE = 12  # words of a phrase in an automaton: the run of smallest hash in each window
 SHARD_WORDS = 20_000  # windows of passages in one automaton, about
-SHARD_DOCS = 1500  # stretches that stream through one copy of a shard, about
+SHARD_DOCS, UNEVEN = 200, 2  # stretches that a shard has one automaton for: so many, or so many times the average shard's
 SHARED = 4  # passages that a hit is tried against one by one; beyond, its windows are looked up
 EMPTY = sha256(b"").hexdigest()
 
@@ -326,7 +326,10 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
     passages = s.save(passages.withColumn("shard", shard), "passages")
     parts_of = texts.where("routes is not null").select("doc_id", "text", "routes").mapInArrow(_stretches, "shard int, doc_id long, start long, text binary")
     parts_of = s.save(parts_of, "stretches")
-    copies_of = parts_of.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_DOCS).cast("int").alias("copies"))
+    counts = s.save(parts_of.groupBy("shard").agg(F.count("*").alias("n")), "counts")
+    all_parts, used = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    most = max(SHARD_DOCS, UNEVEN * all_parts // max(1, used))
+    copies_of = counts.select("shard", F.ceil(F.col("n") / most).cast("int").alias("copies"))
     copies_of = F.broadcast(copies_of) if shards < 100_000 else copies_of
     heads = passages.join(copies_of, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     heads = heads.select("shard", "copy", F.lit(0).alias("kind"), "doc_id", "start", F.col("words").alias("text"))
