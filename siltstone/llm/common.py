@@ -85,10 +85,11 @@ def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame |
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Deals the rows out anew where the scan has fewer splits than half the cores, as for one small file."""
+    """Deals the rows out anew where the scan has fewer splits than half the cores, as for one small file. Rows of a
+    partition are then sorted, as they arrive in any order."""
     sc = df.sparkSession.sparkContext
     if df.rdd.getNumPartitions() * 2 < sc.defaultParallelism:
-        return df.repartition(sc.defaultParallelism, *cols)
+        return df.repartition(sc.defaultParallelism, *cols).sortWithinPartitions(*df.columns)
     return df
 
 

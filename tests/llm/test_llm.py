@@ -404,6 +404,17 @@ def test_quality_limits_cover_all_labels(spark):
         quality_rules.CLEAN_LOSS = loss
 
 
+def test_quality_rules_nulls_and_shared_ids(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    df = spark.createDataFrame([(None, text, 1), (None, None, 2), (4, text, 3), (4, "a b c a b c", 4), (4, text, 5)], "doc_id long, text string, kept int")
+    labels = spark.createDataFrame([(4, 1), (None, 0), (9, None)], "doc_id long, quality int")
+    got = sorted(((r.doc_id or 0, r.n_words, r.n_repeat_words, r.base_failed) for r in quality_rules.judge(spark, df, labels).collect()))
+    assert got == [(0, 0, 0, True), (0, 60, 0, False), (4, 6, 6, True), (4, 60, 0, False), (4, 60, 0, False)]
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    assert quality_rules.rule_stats(f"{a} x y {b} x y".encode())[4] == 0
+
+
 def walked(forest, row):
     """An isolation forest's score by plain loops."""
     total = 0.0
