@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import scalars
@@ -48,8 +49,7 @@ _REQUEST = """SELECT page_id, CASE page_id % 9 WHEN 0 THEN '/abs' ELSE 'docs/' |
 @query(f"""SELECT page_id, CASE WHEN starts_with(path, '/') THEN 'path' WHEN chunking = 'other' THEN 'chunking' WHEN block_size NOT BETWEEN 256 AND 1048576 THEN 'blockSize' WHEN new_size < 0 THEN 'newSize'
   WHEN length(digest) <> 64 THEN 'contentSha256' WHEN n_chunks > 10000000 THEN 'chunks' END AS error FROM ({_REQUEST})""")
 def request_errors(spark, d):
-    table(spark, d, "pages").createOrReplaceTempView("_pages")
-    r = spark.sql(_REQUEST.replace("FROM pages", "FROM _pages"))
+    r = spark.sql(_REQUEST.replace("FROM pages", "FROM {pages}"), pages=table(spark, d, "pages"))
     return r.select("page_id", store.request_error(*(F.col(c) for c in ("path", "chunking", "block_size", "new_size", "digest", "n_chunks"))).alias("error"))
 
 
@@ -210,7 +210,8 @@ def prune_versions(spark, d):
 SELECT substr(strong_hash, 1, 2) || '/' || strong_hash AS key, CAST(position // 100 AS BIGINT) AS batch FROM gone""")
 def deleted_file(spark, d):
     c = chunks(spark, d).join(table(spark, d, "documents").agg(F.min("source").alias("file_id")), "file_id")
-    rows = c.groupBy().agg(F.sort_array(F.collect_list(F.struct("doc_id", "block_index", "strong_hash"))).alias("l")).select(F.posexplode("l").alias("position", "x")).select("x.strong_hash", "position")
+    place = F.row_number().over(Window.partitionBy("file_id").orderBy("doc_id", "block_index")) - 1
+    rows = c.select("strong_hash", place.alias("position"))
     cas = c.select("strong_hash", F.lit(1).alias("ref_count"), F.lit(0).alias("last_referenced_at")).distinct()
     return store.delete_file_chunks(cas, rows, F.lit(0), 100)["deletes"]
 
