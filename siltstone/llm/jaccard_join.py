@@ -32,7 +32,7 @@ WORDS, PERCENT = 5, 80
 MOST_COUNTERS = 1 << 25
 SLICE = 1 << 15
 BINS = 512  # of the suffix filter
-BLOCK = 1024  # members of a prefix group that meet in one block
+BLOCK = 512  # members of a prefix group that meet in one block
 
 
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:
